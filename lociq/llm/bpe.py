@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from lociq.llm.text import batches, binary
 from lociq.session import pick
 
+
 @dataclass
 class TreeBpe:
     """An encoder equal to Tokenizer.from_file(path) with add_special_tokens=False.
@@ -58,22 +59,79 @@ class TreeBpe:
 
     # texts
 
-    def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 4096) -> DataFrame:
-    """(id, ids array<int>) of every row. No shuffle: each task encodes what it reads."""
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, leaf)
-        for b in it:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                said = bpe.encode_many([t or b"" for t in binary(part.column(1))])
-                yield from batches(((i, np.fromstring(x, np.int32, sep=" ")) for i, (_, x, _) in zip(part.column(0).to_pylist(), said, strict=True)), schema, 256)
-
-    return pick(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
-
-
-def decode(self, ids: list[int]) -> str:
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        return [i for w in text.encode().split() for i in self.encode_run(w.decode())]
+
+    def encode_run(self, run: str) -> list[int]:
+        """The ids of a run without white space."""
+        if len(run) <= self.leaf:
+            return self.whole.encode(run, add_special_tokens=False).ids
+        return self._run(run)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember what words encode to; all that is remembered goes when it would exceed keep."""
+        new = list(words - self.memo.keys())
+        if len(self.memo) + len(new) > self.keep:
+            self.memo.clear()
+            new = list(words)
+        texts = [w.decode() for w in new]
+        short = iter(self.whole.encode_batch_fast([t for t in texts if len(t) <= self.leaf], add_special_tokens=False))
+        for w, t in zip(new, texts, strict=True):
+            ids = next(short).ids if len(t) <= self.leaf else self._run(t)
+            self.memo[w] = len(ids), " ".join(map(str, ids)), " ".join(map(self.by_id.__getitem__, ids)) if self.joined else ""
+
+    # runs without white space
+
+    def _run(self, run: str) -> list[int]:
+        """A long run: special tokens are cut out, the rest is normalized and split, long words go by the tree."""
+        found = min(((at, s) for s in self.special if (at := run.find(s)) >= 0), default=None)
+        if found:
+            at, s = found
+            return self._run(run[:at]) + [self.whole.token_to_id(s)] + self._run(run[at + len(s) :])
+        if not run:
+            return []
+        norm = self.whole.normalizer.normalize_str(run) if self.whole.normalizer else run
+        words = [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(norm)] if self.whole.pre_tokenizer else [norm]
+        short = iter(self.last.encode_batch([w for w in words if len(w) <= self.leaf], add_special_tokens=False))
+        return [i for w in words for i in (next(short).ids if len(w) <= self.leaf else self.encode_word(w))]
+
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of one unsplit word (in the splitter's alphabet), by halves."""
+        cuts = [0, len(word)]
+        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > self.leaf:
+            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False) if b - a > self.leaf)})
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        done = [e.ids for e in self.inner.encode_batch([word[a:b] for a, b in spans[:-1]], add_special_tokens=False)]
+        parts = [(a, b, ids) for (a, b), ids in zip(spans, [*done, self._piece(word, *spans[-1])], strict=True)]
+        while len(parts) > 1:  # pairs of neighbours, level by level
+            parts = [self._join(word, parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0][2]
+
+    def _piece(self, word: str, a: int, b: int) -> list[int]:
+        """The ids of word[a:b]; only the end of the word takes the suffix."""
+        return (self.last if b == len(word) else self.inner).encode_batch([word[a:b]], add_special_tokens=False)[0].ids
+
+    def _length(self, i: int) -> int:
+        token = self.by_id[i]
+        return len(token) - (len(self.suffix) if self.suffix and token.endswith(self.suffix) else 0)
+
+    def _join(self, word: str, left: tuple, right: tuple) -> tuple:
+        (lo, cut, li), (_, hi, ri) = left, right
+        self.joins += 1
+        size = self.window
+        while True:
+            nl, nr = min(size, len(li)), min(size, len(ri))
+            a = cut - sum(map(self._length, li[len(li) - nl :]))
+            b = cut + sum(map(self._length, ri[:nr]))
+            mid = self._piece(word, a, b)
+            if (nl == len(li) or mid[0] == li[len(li) - nl]) and (nr == len(ri) or mid[-1] == ri[nr - 1]):
+                return lo, hi, li[: len(li) - nl] + mid + ri[nr:]
+            size *= 2
+
+    # results
+
+    def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids, skip_special_tokens=False)
 
     def encode_many(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
@@ -108,7 +166,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, leaf)
-        yield from batches(((i, bpe.encode(t or "")) for b in it for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True)), schema, 256)
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                said = bpe.encode_many([t or b"" for t in binary(part.column(1))])
+                yield from batches(((i, np.fromstring(x, np.int32, sep=" ")) for i, (_, x, _) in zip(part.column(0).to_pylist(), said, strict=True)), schema, 256)
 
     return pick(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
