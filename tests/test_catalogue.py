@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lociq.plans import catalogue
+from lociq.plans import annotations, catalogue  # noqa: F401 (annotations registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
