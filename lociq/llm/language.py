@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -69,7 +70,10 @@ def letters(word: str) -> str:
 
 
 def trigrams(word: str) -> list[int]:
-    padded = f"<{word}>"
+    return trigrams_of(f"<{word}>")
+
+
+def trigrams_of(padded: str) -> list[int]:
     return [zlib.crc32(padded[i : i + 3].encode()) & (BUCKETS - 1) for i in range(len(padded) - 2)]
 
 
@@ -85,28 +89,72 @@ class Model:
     def __post_init__(self) -> None:
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
         self.sizes = np.zeros(1024, np.int64)
+        # By script, and a last row for none: what a language loses that is not written so.
+        named = np.vstack((self.scripts, np.ones_like(self.scripts[:1])))
+        self.loss = np.where(named | ~named.any(axis=1, keepdims=True), 0, 100).astype(np.float32)
+        self.first: dict[str, int] = {}
+        self.grams: dict[int, int] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Score words not known yet, all at once; what is known goes when it would exceed keep."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.keep:
+            self.known.clear()
+            new = list(words)
+        if not new:
+            return
+        at, end = len(self.known), len(self.known) + len(new)
+        if end > len(self.sizes):
+            more = max(end, 2 * len(self.sizes)) - len(self.sizes)
+            self.rows = np.concatenate((self.rows, np.zeros((more, len(self.langs)), np.float32)))
+            self.sizes = np.concatenate((self.sizes, np.zeros(more, np.int64)))
+        self.rows[at:end], self.sizes[at:end] = self._score([w.decode() for w in new])
+        self.known.update(zip(new, range(at, end), strict=True))
+
+    def _score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities by language, and letters, of words."""
+        said = [t.lower() if t.isalpha() else letters(t) for t in texts]
+        size = np.fromiter(map(len, said), np.int64, len(said))
+        rows, has = np.zeros((len(said), len(self.langs)), np.float32), np.flatnonzero(size)
+        if len(has):
+            chars = np.frombuffer("".join(f"<{w}>" for w in said if w).encode("utf-32-le"), np.uint32).astype(np.int64)
+            ends = np.cumsum(size[has] + 2)
+            inside = np.ones(len(chars), bool)
+            inside[ends - 1] = inside[ends - 2] = False  # no trigram starts at a word's last two signs
+            i = np.flatnonzero(inside)
+            found, back = np.unique(chars[i] | chars[i + 1] << 21 | chars[i + 2] << 42, return_inverse=True)
+            buckets = np.fromiter(map(self._bucket, found.tolist()), np.int64, len(found))
+            starts = np.concatenate(([0], np.cumsum(size[has])[:-1]))
+            rows[has] = np.add.reduceat(self.logp[buckets[back]], starts, axis=0)
+            rows[has] -= self.loss[[self._script(texts[j]) for j in has.tolist()]]
+        return rows, size
+
+    def _bucket(self, gram: int) -> int:
+        out = self.grams.get(gram)
+        if out is None:
+            if len(self.grams) >= self.keep:
+                self.grams.clear()
+            mask = (1 << 21) - 1
+            (out,) = trigrams_of("".join(chr(gram >> k & mask) for k in (0, 21, 42)))
+            self.grams[gram] = out
+        return out
 
-    def _learn(self, word: bytes) -> int:
-        i = len(self.known)
-        if i == len(self.sizes):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        text = word.decode()
-        said = letters(text)
-        row = self.logp[trigrams(said)].sum(axis=0) if said else np.zeros(len(self.langs))
-        if said and (s := script_of(text)) >= 0 and self.scripts[s].any():
-            row = np.where(self.scripts[s], row, row - 100.0)
-        self.rows[i], self.sizes[i] = row, len(said)
-        self.known[word] = i
-        return i
+    def _script(self, word: str) -> int:
+        out = self.first.get(word[0])
+        if out is None:
+            out = script_of(word)
+            if word[0].isalpha():  # then the first sign alone decides; there are as many as letters
+                self.first[word[0]] = out
+        return out
 
     def spans(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The language number of each word, and its letters."""
         words = (text or b"").split()
-        if len(self.known) + len(words) > self.keep:
-            self.known.clear()
-        known, learn = self.known, self._learn
-        at = np.fromiter((known[w] if w in known else learn(w) for w in words), np.int64, len(words))
+        self.learn(set(words))
+        return self._spans(words)
+
+    def _spans(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         e, size = self.rows[at].astype(np.float64), self.sizes[at]
         if not len(words) or not size.any():
             return np.zeros(len(words), np.int64), size
@@ -118,29 +166,38 @@ class Model:
         return self._viterbi(e), size
 
     def _viterbi(self, e: np.ndarray) -> np.ndarray:
+        """The best path; plain floats, as there are few languages. One step back a word and language is kept."""
         n, k = e.shape
-        back = np.zeros((n, k), np.int8 if k < 128 else np.int32)
-        same = np.arange(k)
-        total = e[0].copy()
-        for t in range(1, n):
-            top = int(np.argmax(total))
-            moved = total[top] - self.switch
-            back[t] = np.where(total >= moved, same, top)
-            total = np.maximum(total, moved) + e[t]
-        out = np.zeros(n, np.int64)
-        out[-1] = int(np.argmax(total))
+        back, total = array("B" if k < 256 else "L", range(k)), e[0].tolist()
+        for lo in range(1, n, 1 << 16):
+            for row in e[lo : lo + (1 << 16)].tolist():
+                best = max(total)
+                moved, top = best - self.switch, total.index(best)
+                back.extend([i if x >= moved else top for i, x in enumerate(total)])
+                total = [(x if x >= moved else moved) + y for x, y in zip(total, row, strict=True)]
+        out, at = np.zeros(n, np.int64), total.index(max(total))
+        out[-1] = at
         for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+            at = back[t * k + at]
+            out[t - 1] = at
         return out
 
+    def predict_many(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:
+        """Of each text: its language and the share of its letters."""
+        split = [(t or b"").split() for t in texts]
+        self.learn(set().union(*split))
+        for words in split:
+            path, size = self._spans(words)
+            total = int(size.sum())
+            if not total:
+                yield "und", 0.0
+                continue
+            share = np.bincount(path, size, len(self.langs))
+            best = int(np.argmax(share))
+            yield self.langs[best], float(share[best] / total)
+
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        path, size = self.spans(text)
-        total = int(size.sum())
-        if not total:
-            return "und", 0.0
-        share = np.bincount(path, size, len(self.langs))
-        best = int(np.argmax(share))
-        return self.langs[best], float(share[best] / total)
+        return next(self.predict_many([text]))
 
 
 def fold(doc_id: int | None, folds: int) -> int:
@@ -192,8 +249,10 @@ def predict(docs: DataFrame, model: Model | None = None, folds: int = 3, per_lan
 
         def out() -> Iterator[tuple]:
             for b in it:
-                for i, t in zip(b.column(0).to_pylist(), binary(b.column(1)), strict=True):
-                    yield i, fold(i, folds) == 1, *mine.predict(t)
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    said = mine.predict_many(binary(part.column(1)))
+                    yield from ((i, fold(i, folds) == 1, *x) for i, x in zip(part.column(0).to_pylist(), said, strict=True))
 
         yield from batches(out(), schema)
 
