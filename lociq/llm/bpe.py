@@ -71,7 +71,7 @@ class TreeBpe:
 
     def learn(self, words: set[bytes]) -> None:
         """Remember what words encode to; all that is remembered goes when it would exceed keep."""
-        new = list(words - self.memo.keys())
+        new = [w for w in words if w not in self.memo]
         if len(self.memo) + len(new) > self.keep:
             self.memo.clear()
             new = list(words)
