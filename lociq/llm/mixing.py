@@ -7,20 +7,31 @@ block off its share at every slot. The shares are integers, so the schedule repe
 computed once from the shares alone, and every block finds its slot by arithmetic. A source that has run out leaves its
 slots empty; nothing is dropped.
 
+A block takes the first slot from its release on that no block before it (by deadline, then source) holds, and which
+slots those hold together does not depend on their order. Blocks j of all sources with one share have the same release
+and deadline, so the slots free before each deadline are found from the shares and how many sources have each; a source
+then needs only how many sources of each share stand before it. That makes any number of sources a range partition,
+running counts and arithmetic by row.
+
 Ranks within a source are taken in buckets of the order and shifted by the counts of the buckets before, so a source
 with a third of all rows is spread like the others.
 
 Defined results: a null source is a source of its own, shown as null; null and empty texts count as zero characters;
-rows that share an id are kept and follow each other in no fixed order; an empty table gives an empty result; other columns pass through untouched.
+rows that share an id are kept and follow each other in no fixed order; documents of a source without a share of 1 or more stay, with
+null slots, releases and deadlines; shares given twice for a source add up; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest number of sources; the table of shares and one period of the schedule stay below this times SHARE rows.
-SOURCES = 2000
+from lociq.session import materialize, partitions
+
 #: Share of the largest weight.
 SHARE = 100
 #: Hex digits of the order that make a bucket.
@@ -30,26 +41,106 @@ DIGITS = 2
 def default_shares(docs: DataFrame, size: Column) -> DataFrame:
     """(source, share): target weights in proportion to the square root of a source's size (as a rule, characters)."""
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.greatest(F.sum(F.coalesce(size, F.lit(0))), F.lit(1)).alias("chars"))
-    top = Window.partitionBy(F.lit(1))
-    return sizes.select("source", F.greatest(F.lit(1), F.floor(F.lit(SHARE) * F.sqrt(F.col("chars") / F.max("chars").over(top)) + 0.5)).cast("int").alias("share"))
-
-
-def schedule(shares: DataFrame) -> DataFrame:
-    """(source, share, period, j, offset): the slot within the period of each of a source's blocks, by earliest deadline first."""
-    one = shares.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("s"))
-    one = one.select("s", F.expr("aggregate(s, 0L, (a, x) -> a + x.share)").alias("period"))
-    one = one.where(f"size(s) between 1 and {SOURCES}")
-    # State: blocks served by source, and the source of each slot so far. Block j of share a is released once
-    # slot >= floor(j * period / a) and due at ceil((j + 1) * period / a).
-    served = "transform(acc.n, (n, i) -> named_struct('n', n, 'i', i, 'a', cast(s[i].share as bigint)))"
-    released = f"filter({served}, x -> (x.n * period) div x.a <= t)"
-    first = f"array_min(transform({released}, x -> named_struct('d', ((x.n + 1) * period + x.a - 1) div x.a, 'i', x.i))).i"
-    start = "named_struct('n', transform(s, x -> 0L), 'o', cast(array() as array<int>))"
-    step = f"(acc, t) -> transform(array({first}), p -> named_struct('n', transform(acc.n, (n, i) -> n + if(i = p, 1L, 0L)), 'o', array_append(acc.o, p)))[0]"
-    one = one.withColumn("order", F.expr(f"aggregate(sequence(0L, period - 1), {start}, {step}).o"))
-    slots = one.select("s", "period", F.posexplode("order").alias("offset", "i")).select(F.expr("s[i].source").alias("source"), F.expr("s[i].share").alias("share"), "period", "offset")
-    j = Window.partitionBy("source").orderBy("offset")
-    return slots.select("source", "share", "period", (F.row_number().over(j) - 1).alias("j"), "offset")
+    sizes = materialize(sizes, "sizes")
+    top = sizes.agg(F.max("chars").alias("top")).first()["top"]
+    return sizes.select("source", F.greatest(F.lit(1), F.floor(F.lit(SHARE) * F.sqrt(F.col("chars") / F.lit(top)) + 0.5)).cast("int").alias("share"))
+
+
+def _take(free: list[list[int]], start: int, n: int) -> None:
+    """Removes the first n slots from start on from the free ranges [from, to)."""
+    i = bisect_right(free, [start, 1 << 62]) - 1
+    if i >= 0 and free[i][1] > start > free[i][0]:
+        free[i : i + 1] = [[free[i][0], start], [start, free[i][1]]]
+        i += 1
+    elif i < 0 or free[i][0] < start:
+        i += 1
+    k = i
+    while n:
+        step = min(n, free[k][1] - free[k][0])
+        free[k][0] += step
+        n -= step
+        k += free[k][0] == free[k][1]
+    del free[i:k]
+
+
+def _ties(number: dict[int, int]) -> tuple[list[tuple], list[tuple]]:
+    """(share, j, tie, at) of each block of each share, and by tie (blocks due together): the shares by release, the
+    free slots from each release to the next, and the free ranges as (free slots before, slot). number: sources by share."""
+    period = sum(a * n for a, n in number.items())
+    due = defaultdict(list)
+    for a in number:
+        for j in range(a):
+            due[((j + 1) * period + a - 1) // a].append((j * period // a, a, j))
+    free, blocks, ties = [[0, period]], [], []
+    for tie, end in enumerate(sorted(due)):
+        group = sorted(due[end])
+        i = max(0, bisect_right(free, [group[0][0], 1 << 62]) - 1)
+        open_ = []  # free ranges from the first release to the deadline
+        while i < len(free) and free[i][0] < end:
+            lo, hi = max(free[i][0], group[0][0]), min(free[i][1], end)
+            if lo < hi:
+                open_.append((lo, hi))
+            i += 1
+        heads, before, n = [lo for lo, _ in open_], [], 0
+        for lo, hi in open_:
+            before.append(n)
+            n += hi - lo
+
+        def at_most(slot: int) -> int:
+            k = bisect_right(heads, slot) - 1
+            return 0 if k < 0 else before[k] + min(slot, open_[k][1]) - open_[k][0]
+
+        marks = [*(at_most(r) for r, _, _ in group), n]
+        ties.append((tie, [a for _, a, _ in group], [y - x for x, y in zip(marks, marks[1:], strict=False)], before, heads))
+        for k, (r, a, j) in enumerate(group):
+            blocks.append((a, j, tie, k))
+            _take(free, r, number[a])
+    return blocks, ties
+
+
+def _local(spark, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+    return spark.createDataFrame(pa.table({k: pa.array(list(c), t) for c, (k, t) in zip(columns, types.items(), strict=True)}))
+
+
+def schedule(shares: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """(source, share, period, j, offset): the slot within the period of each of a source's blocks, by earliest deadline
+    first. blocks(source, blocks): how many blocks of a source are asked for; without it all of a period."""
+    spark = shares.sparkSession
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    s = shares.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.col("share").cast("long")).alias("share")).where("share >= 1")
+    s = materialize(s.repartitionByRange(partitions(spark), "source").withColumn("b", F.spark_partition_id()), "shares")
+    cells = s.groupBy("b", "share").count().collect()  # partitions * SHARE rows at most, with default shares
+    number: dict[int, int] = defaultdict(int)
+    for r in cells:
+        number[r["share"]] += r["count"]
+    kinds = {a: i for i, a in enumerate(sorted(number))}
+    inside = {(r["b"], r["share"]): r["count"] for r in cells}
+    before, sofar = [], [0] * len(kinds)
+    for b in sorted({b for b, _ in inside}):
+        before.append((b, list(sofar)))
+        for a, i in kinds.items():
+            sofar[i] += inside.get((b, a), 0)
+    due, ties = _ties(number)
+    due = _local(spark, due, share=long, j=long, tie=long, at=long)  # a row for each block of each share: SHARE * (SHARE + 1) / 2 at most
+    ties = _local(spark, [(t, [kinds[a] for a in of], *x) for t, of, *x in ties], tie=long, kinds=longs, room=longs, before=longs, heads=longs)
+    earlier = Window.partitionBy("b").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = [F.coalesce(F.sum((F.col("share") == a).cast("long")).over(earlier), F.lit(0)) for a in kinds]
+    s = s.withColumn("_in", F.array(*ahead).cast("array<long>"))
+    s = s.join(F.broadcast(_local(spark, before, b=long, _before=longs)), "b").withColumn("ahead", F.zip_with("_in", "_before", lambda x, y: x + y))
+    s = s.select("source", "share", "ahead")
+    s = s.withColumn("n", F.col("share")) if blocks is None else s.join(blocks, "source").withColumn("n", F.least("share", "blocks")).drop("blocks")
+    s = s.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    s = s.join(F.broadcast(due.join(F.broadcast(ties), "tie")), ["share", "j"])
+    # Those ahead fill the room from each release on and flow over into the next; the block takes the first place left
+    # from its own release on.
+    come = "(acc.over + ahead[cast(x.kinds as int)])"
+    found = f"if(acc.found is null and acc.k >= at and {come} < x.room, acc.e + {come}, acc.found)"
+    step = f"named_struct('over', greatest(0L, {come} - x.room), 'k', acc.k + 1L, 'e', acc.e + x.room, 'found', {found})"
+    start = "named_struct('over', 0L, 'k', 0L, 'e', 0L, 'found', cast(null as bigint))"
+    s = s.withColumn("p", F.expr(f"aggregate(arrays_zip(kinds, room), {start}, (acc, x) -> {step}).found"))
+    s = s.withColumn("r", F.expr("array_max(filter(arrays_zip(before, heads), x -> x.before <= p))"))
+    return s.select("source", "share", F.lit(sum(a * n for a, n in number.items())).cast("long").alias("period"), "j", F.expr("r.heads + p - r.before").alias("offset"))
 
 
 def mix(docs: DataFrame, block: int = 16, shares: DataFrame | None = None, size: Column | None = None) -> DataFrame:
@@ -57,19 +148,20 @@ def mix(docs: DataFrame, block: int = 16, shares: DataFrame | None = None, size:
     source, and text where neither shares nor size is given."""
     if shares is None:
         shares = default_shares(docs, F.char_length("text") if size is None else size)
-    plan = schedule(shares)  # at most SOURCES * SHARE rows, usually far fewer
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     d = docs.withColumn("_src", F.coalesce("source", F.lit(""))).withColumn("_key", key).withColumn("_b", F.substring("_key", 1, DIGITS))
     counts = d.groupBy("_src", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("_src").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.select(F.col("_src").alias("_s2"), F.col("_b").alias("_b2"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    asked = counts.groupBy(F.col("_s2").alias("source")).agg(F.expr(f"(max(_before + _n) + {block - 1}) div {block}").alias("blocks"))
+    plan = schedule(shares, asked)  # no more rows than the documents have blocks
+    plan = plan.groupBy(F.col("source").alias("_s3")).agg(F.max("share").alias("_share"), F.max("period").alias("_period"), F.expr("transform(sort_array(collect_list(struct(j, offset))), x -> x.offset)").alias("_offsets"))
+    counts = counts.join(plan, F.col("_s2") == F.col("_s3"), "left").drop("_s3", "_n")
     within = Window.partitionBy("_src", "_b").orderBy("_key")
     d = d.withColumn("_r", F.row_number().over(within) - 1)
-    d = d.join(counts, (F.col("_src") == F.col("_s2")) & (F.col("_b") == F.col("_b2")))
+    d = d.join(counts, (F.col("_src") == F.col("_s2")) & (F.col("_b") == F.col("_b2")), "left")
     d = d.withColumn("_rank", F.col("_before") + F.col("_r")).withColumn("mix_block", F.expr(f"_rank div {block}"))
-    p = plan.select(F.col("source").alias("_s3"), F.col("share").alias("_share"), F.col("period").alias("_period"), F.col("j").alias("_j"), F.col("offset").alias("_offset"))
-    d = d.join(F.broadcast(p.select("_s3", "_share").distinct()), F.col("_src") == F.col("_s3")).drop("_s3").withColumn("_at", F.expr("cast(mix_block % _share as int)"))
-    d = d.join(F.broadcast(p.drop("_share")), (F.col("_src") == F.col("_s3")) & (F.col("_at") == F.col("_j")))
+    d = d.withColumn("_offset", F.expr("_offsets[cast(mix_block % _share as int)]"))
     return d.select(
         *docs.columns,
         F.expr("(mix_block div _share) * _period + _offset").alias("mix_slot"),
