@@ -160,9 +160,12 @@ def encoder(path: str, leaf: int = 4096) -> TreeBpe:
     return _made[path, leaf]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 4096) -> DataFrame:
-    """(id, ids array<int>) of every row. No shuffle: each task encodes what it reads."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids array<int>, carried columns) of every row. No shuffle: each task encodes what it reads."""
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    names = [f"carried{i}" for i in range(len(carry))]
+    wide = pick(docs, id_col, text_col, *carry).toDF("id", "text", *names)
+    types = "".join(f", {n} {wide.schema[n].dataType.simpleString()}" for n in names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, leaf)
@@ -170,9 +173,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 said = bpe.encode_many([t or b"" for t in binary(part.column(1))])
-                yield from batches(((i, np.fromstring(x, np.int32, sep=" ")) for i, (_, x, _) in zip(part.column(0).to_pylist(), said, strict=True)), schema, 256)
+                ids = pa.array([np.fromstring(x, np.int32, sep=" ") for _, x, _ in said], schema.types[1])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, *part.columns[2:]], names=[*schema.names, *names])
 
-    return pick(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return wide.mapInArrow(run, "id long, ids array<int>" + types).toDF(id_col, "ids", *carry)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -40,3 +40,16 @@ def test_mixing_schedules_any_number_of_sources(spark):
         else:
             assert r["mix_slot"] is None
     assert mixing.mix(docs, size=F.lit(1)).where("mix_slot is not null").count() == 5202
+
+
+def test_pipeline_returns_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(9 + i % 4)), "en", "abc"[i % 7 % 3], 0) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: docs.repartition(5))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])  # the others drop such texts
+    want = {r["doc_id"]: (r["source"], r["mix_slot"], r["mix_rank"]) for r in mixing.mix(docs).collect()}
+    got = corpus_pipeline.run(spark, "").orderBy("mix_slot", "mix_rank").collect()
+    assert {r["doc_id"]: (r["source"], r["mix_slot"], r["mix_rank"]) for r in got} == want and len(got) == 400
+    assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in got)
+    assert len({r["source"] for r in got[:120]}) == 3
