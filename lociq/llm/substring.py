@@ -31,7 +31,7 @@ from lociq.session import materialize, new_path, partitions, pick
 #: Windows of a run; bounds a task's memory whatever it reads.
 RUN = 1_500_000
 NULL_ID = -(1 << 63)
-#: Run of the entries that come from the index: they are never answered.
+#: Run of the entries that come from the index: they are never answered. In a stored index it is less by the seed.
 HISTORY = -1
 
 _RUNS = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("kind", pa.int8()), ("f", pa.binary()), ("d", pa.binary()), ("p", pa.binary()), ("ids", pa.binary())])
@@ -121,13 +121,13 @@ def build_runs(docs: DataFrame, size: int, buckets: int, seed: int) -> DataFrame
 
 
 def _merge(it: Iterator[pa.RecordBatch], keep_index: bool) -> Iterator[tuple]:
-    """One hash range: merges sorted runs; answers what is not the earliest of its window (kind 1), with the earliest.
-    With keep_index also the compacted run of the earliest windows (kind 0)."""
+    """One hash range: merges sorted runs; answers what is not the earliest of its window, with the earliest (kind 1 if
+    that is of this batch, 2 if it is of the index). With keep_index also the compacted run of the earliest windows (kind 0)."""
     parts: list[tuple] = []
     for b in it:
         for bucket, run, kind, f, d, p, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if kind:
-                yield bucket, run, 1, f, d, p, ids
+                yield bucket, run, kind, f, d, p, ids
             else:
                 fs = unpack_sorted(f)
                 parts.append((bucket, run, fs, unpack_signed(ids)[unpack(d).astype(np.int64)], unpack(p).astype(np.int64)))
@@ -150,11 +150,12 @@ def _merge(it: Iterator[pa.RecordBatch], keep_index: bool) -> Iterator[tuple]:
         first = np.flatnonzero(np.diff(f2, prepend=~f2[:1]) != 0)
         of = np.repeat(first, np.diff(np.append(first, len(f2))))
         gone = np.flatnonzero((run2 != HISTORY) & ((doc2 != doc2[of]) | (p2 != p2[of]) | (run2[of] == HISTORY)) & (of != np.arange(len(f2))))
-        order = gone[np.lexsort((p2[gone], doc2[gone], run2[gone]))]
-        cuts = np.flatnonzero(np.diff(run2[order], prepend=HISTORY - 1, append=HISTORY - 1))
+        old = run2[of] == HISTORY
+        order = gone[np.lexsort((p2[gone], doc2[gone], old[gone], run2[gone]))]
+        cuts = np.flatnonzero((np.diff(run2[order], prepend=HISTORY - 1, append=HISTORY - 1) != 0) | (np.diff(old[order].astype(np.int8), prepend=2, append=2) != 0))
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             o = order[lo:hi]
-            yield 0, int(run2[o[0]]), 1, pack_signed(doc2[o]), pack_signed(p2[o]), pack_signed(doc2[of[o]]), pack_signed(p2[of[o]] - p2[o])
+            yield 0, int(run2[o[0]]), 1 + int(old[o[0]]), pack_signed(doc2[o]), pack_signed(p2[o]), pack_signed(doc2[of[o]]), pack_signed(p2[of[o]] - p2[o])
     if keep_index:
         order = np.lexsort((p, doc, run != HISTORY, f))
         f, doc, p = f[order], doc[order], p[order]
@@ -167,14 +168,15 @@ def _passages(it: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """The answers of whole runs to rows (id, packed starts, packed ends, passages (from, words, source id, source from))."""
     by_run: dict[int, list[tuple]] = {}
     for b in it:
-        for run, f, d, p, ids in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5, 6)), strict=True):
-            by_run.setdefault(run, []).append((f, d, p, ids))
+        for run, kind, *row in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True):
+            by_run.setdefault(run, []).append((*map(unpack_signed, row), kind == 2))
     for rows in by_run.values():
-        doc, p, doc0, off = (np.concatenate([unpack_signed(r[i]) for r in rows]) for i in range(4))
+        doc, p, doc0, off = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        old = np.concatenate([np.full(len(r[0]), r[4]) for r in rows])
         order = np.lexsort((p, doc))
-        doc, p, doc0, off = doc[order], p[order], doc0[order], off[order]
+        doc, p, doc0, off, old = doc[order], p[order], doc0[order], off[order], old[order]
         cuts = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if doc[0] > NULL_ID else np.flatnonzero(np.concatenate(([True], np.diff(doc) != 0)))
-        step = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(p) != 1) | (np.diff(doc0) != 0) | (np.diff(off) != 0)))
+        step = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(p) != 1) | (np.diff(doc0) != 0) | (np.diff(off) != 0) | (old[1:] != old[:-1])))
         begin = np.flatnonzero(step)
         until = np.append(begin[1:], len(p))
         borders = np.append(np.searchsorted(begin, cuts), len(begin))
@@ -182,34 +184,53 @@ def _passages(it: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
             a, e = _cover(p[lo:hi], size)
             mine = slice(borders[k], borders[k + 1])
             passages = [
-                {"from": int(p[i]), "words": int(j - i) + size - 1, "source": int(doc0[i]), "at": int(p[i] + off[i])}
+                {"from": int(p[i]), "words": int(j - i) + size - 1, "source": int(doc0[i]), "at": int(p[i] + off[i]), "old": bool(old[i])}
                 for i, j in zip(begin[mine], until[mine], strict=True)
             ]
             yield int(doc[lo]), pack_sorted(a), pack_sorted(e), passages
 
 
-_SPAN = pa.list_(pa.struct([("from", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("at", pa.int64())]))
+_SPAN = pa.list_(pa.struct([("from", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("at", pa.int64()), ("old", pa.bool_())]))
+
+
+def _recut(index: DataFrame, buckets: int) -> DataFrame:
+    """The runs of a stored index, cut into this call's hash ranges: the number of ranges may differ from call to call."""
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in it:
+                for f, d, p, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    fs, at, ps, who = unpack_sorted(f), unpack(d).astype(np.int64), unpack(p), unpack_signed(ids)
+                    cuts = [0, *slices(fs, buckets), len(fs)]
+                    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if hi > lo:
+                            used, back = np.unique(who[at[lo:hi]], return_inverse=True)
+                            yield k, HISTORY, 0, pack_sorted(fs[lo:hi]), pack(back.astype(U)), pack(ps[lo:hi]), pack_signed(used)
+
+        yield from batches(rows(), _RUNS, 64)
+
+    return pick(index, "f", "d", "p", "ids").mapInArrow(cut, _RUNS_SQL)
 
 
 def find_repeats(docs: DataFrame, size: int = 20, index: DataFrame | None = None, keep_index: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """Rows (id, starts, ends, passages) of the documents that lose words, and the compacted index.
 
-    docs(id, text); index: what an earlier call returned, as read back from a table."""
+    docs(id, text); index: what an earlier call with the same seed returned, as read back from a table."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     runs = build_runs(docs, size, buckets, seed)
     if index is not None:
-        runs = runs.unionByName(index)
+        runs = runs.unionByName(_recut(index, buckets))
     merged = runs.repartitionById(buckets, F.pmod(F.col("bucket"), F.lit(buckets)).cast("int")).mapInArrow(lambda it: batches(_merge(it, keep_index), _RUNS, 64), _RUNS_SQL)
     compacted = None
     if keep_index:
         merged = materialize(merged, "runs")
-        compacted = merged.where("kind = 0")
-    answers = merged.where("kind = 1").repartition(buckets, "run")
+        compacted = merged.where("kind = 0").withColumn("run", F.lit(HISTORY - seed).cast("long"))
+    answers = merged.where("kind > 0").repartition(buckets, "run")
     schema = pa.schema([("id", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("passages", _SPAN)])
     found = answers.mapInArrow(
         lambda it: batches(_passages(it, size), schema, 500),
-        "id long, starts binary, ends binary, passages array<struct<from:long,words:long,source:long,at:long>>",
+        "id long, starts binary, ends binary, passages array<struct<from:long,words:long,source:long,at:long,old:boolean>>",
     )
     return found, compacted
 
@@ -253,32 +274,40 @@ def dedup(
 ) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept], carried columns) of every row; kept is null where a document loses nothing.
 
-    index: historical runs (a table that an earlier call wrote to its index_path). A passage that comes from history can
+    index: historical runs (a table that an earlier call wrote to its index_path); the number of shuffle partitions need
+    not be that of the earlier call, and the fingerprints are those of the index. A passage that comes from history can
     only be verified where its text is at hand; within the batch every passage is hashed on both sides, and on a
-    mismatch (two windows with one fingerprint) the search is repeated with other fingerprints."""
+    mismatch (two windows with one fingerprint) the search is repeated with other fingerprints. Those of an index are
+    given, so there a mismatch is an error."""
     spark = docs.sparkSession
     names = [f"carried{i}" for i in range(len(carry))]
     wide = pick(docs, id_col, text_col, *carry).toDF("id", "text", *names)
     rows = wide.select("id", "text")
     types = "".join(f", {n} {wide.schema[n].dataType.simpleString()}" for n in names)
-    for seed in range(8):
+    seeds = range(8)
+    if index is not None:
+        stored = [HISTORY - r["run"] for r in index.select("run").distinct().limit(2).collect()]
+        if len(stored) > 1:
+            raise ValueError("the runs of the index have different fingerprints")
+        seeds = stored or seeds
+    for seed in seeds:
         found, compacted = find_repeats(rows, size, index, index_path is not None, seed)
         found = materialize(found, "repeats")
-        p = found.select("id", F.explode("passages").alias("s")).select("id", "s.*")
+        p = found.select("id", F.explode("passages").alias("s")).select("id", "s.*").where("not old").drop("old")  # the words of history are not at hand
         spans = p.select("id", "from", "words").unionByName(p.select(F.col("source").alias("id"), F.col("at").alias("from"), "words")).distinct()
         asked = spans.groupBy("id").agg(F.collect_list(F.struct("from", "words")).alias("spans"))
         cuts = found.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-        todo = asked.join(cuts, "id", "left").withColumnRenamed("id", "key")
+        todo = cuts.join(asked, "id", "full").withColumnRenamed("id", "key")
         joined = wide.join(todo, F.coalesce("id", F.lit(NULL_ID)) == F.col("key"), "left").select("id", "text", "starts", "ends", "spans", *names)
         applied = joined.mapInArrow(
             lambda it: _apply(it, _APPLIED),
             "id long, kept binary, n_words long, n_removed long, kept_sha256 string, checks array<struct<from:long,words:long,hash:binary>>" + types,
         )
         applied = materialize(applied if with_text else applied.withColumn("kept", F.lit(None).cast("binary")), "kept")
-        if not verify or index is not None or not _mismatches(applied, p):
+        if not verify or not _mismatches(applied, p):
             break
     else:
-        raise ArithmeticError("fingerprints collide under every seed")
+        raise ArithmeticError("fingerprints collide under every seed" if index is None else "fingerprints collide under the seed of the index")
     if index_path is not None:
         compacted.write.parquet(index_path)
     kept = [F.decode("kept", "UTF-8").alias("kept")] if with_text else []

@@ -1,10 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
 import heapq
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lociq.llm import mixing
+from lociq.llm import mixing, substring
 
 
 def earliest_deadline_first(shares):
@@ -53,3 +55,43 @@ def test_pipeline_returns_the_mix(spark, monkeypatch):
     assert {r["doc_id"]: (r["source"], r["mix_slot"], r["mix_rank"]) for r in got} == want and len(got) == 400
     assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in got)
     assert len({r["source"] for r in got[:120]}) == 3
+
+
+def halves(spark):
+    """Forty documents and forty that repeat passages of them."""
+    rng = random.Random(2)
+    first = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for i in range(40)]
+    return [spark.createDataFrame(x, "doc_id long, text string") for x in (first, [(100 + i, f"n{i} " + t[: len(t) // 2]) for i, t in first])]
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_substring_index_outlives_partitions_and_seeds(spark, monkeypatch, seed):
+    first, then = halves(spark)
+    want = {r["doc_id"]: r["n_removed"] for r in substring.dedup(first.union(then), size=5).collect()}
+    assert sum(want.values()) > 500
+    with monkeypatch.context() as m:
+        if seed:  # the first batch has retried
+            bad = iter([1] * seed)
+            m.setattr(substring, "_mismatches", lambda *a: next(bad, 0))
+        path = substring.index_location(spark)
+        got = {r["doc_id"]: r["n_removed"] for r in substring.dedup(first, size=5, index_path=path).collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        got |= {r["doc_id"]: r["n_removed"] for r in substring.dedup(then, size=5, index=spark.read.parquet(path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
+def test_substring_verifies_the_batch_beside_an_index(spark, monkeypatch):
+    first, then = halves(spark)
+    path = substring.index_location(spark)
+    substring.dedup(first, size=5, index_path=path)
+    index = spark.read.parquet(path)
+    # An id that history used too, and a passage that repeats within the batch.
+    more = then.union(spark.createDataFrame([(1, "a b c d e f g h"), (2, "z a b c d e f g")], then.schema))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup(more, size=5, index=index).collect()}
+    assert (got[1], got[2]) == (0, 7)
+    monkeypatch.setattr(substring, "_mismatches", lambda *a: 1)
+    with pytest.raises(ArithmeticError):
+        substring.dedup(more, size=5, index=index)
