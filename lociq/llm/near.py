@@ -23,7 +23,6 @@ not read.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -183,7 +182,8 @@ def signature_runs(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
             first = np.zeros(len(f), bool)
             first[head] = True
             if hot.any():
-                yield random.randrange(buckets), 1, pack_sorted(f[hot]), b"", pack_signed(d[hot])
+                # Any task may read them; the place depends on the rows alone, so that a rerun sends them there again.
+                yield int((f[hot] ^ mix(d[hot].view(U))).sum(dtype=U) % U(buckets)), 1, pack_sorted(f[hot]), b"", pack_signed(d[hot])
             for kind, mask in ((0, ~hot), (2, hot & first)):
                 fk, dk = f[mask], d[mask]
                 cuts = [0, *slices(fk << U(16), buckets), len(fk)]

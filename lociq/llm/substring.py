@@ -17,7 +17,6 @@ an empty table gives an empty result; other columns are not read by the search.
 from __future__ import annotations
 
 import hashlib
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +48,9 @@ def _cover(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 class _Runs:
     """Builds the runs of one task."""
 
-    def __init__(self, size: int, buckets: int, seed: int):
+    def __init__(self, size: int, buckets: int, seed: int, task: int):
         self.size, self.buckets, self.words = size, buckets, WordIds(seed)
+        self.run = task << 32  # numbers of runs are those of a rerun too, or rows of a lost run would be missed
         self.docs: list[tuple[int, np.ndarray]] = []
         self.n = 0
 
@@ -66,7 +66,8 @@ class _Runs:
         if not self.docs:
             return
         self.docs.sort(key=lambda x: x[0])
-        size, run = self.size, random.getrandbits(62)
+        size, run = self.size, self.run
+        self.run += 1
         doc_ids = np.array([d for d, _ in self.docs], np.int64)
         count = np.array([len(x) - size + 1 for _, x in self.docs], np.int64)
         # One row of words; windows that reach over a border are left out.
@@ -101,7 +102,7 @@ class _Runs:
     def _answers(self, run: int, doc: np.ndarray, p: np.ndarray, doc0: np.ndarray, p0: np.ndarray) -> Iterator[tuple]:
         if len(doc):
             order = np.lexsort((p, doc))
-            yield run % self.buckets, run, 1, pack_signed(doc[order]), pack_signed(p[order]), pack_signed(doc0[order]), pack_signed((p0 - p)[order])
+            yield int(mix(np.array([run], U))[0] % U(self.buckets)), run, 1, pack_signed(doc[order]), pack_signed(p[order]), pack_signed(doc0[order]), pack_signed((p0 - p)[order])
 
 
 def build_runs(docs: DataFrame, size: int, buckets: int, seed: int) -> DataFrame:
@@ -109,7 +110,9 @@ def build_runs(docs: DataFrame, size: int, buckets: int, seed: int) -> DataFrame
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            runs = _Runs(size, buckets, seed)
+            from pyspark import TaskContext
+
+            runs = _Runs(size, buckets, seed, TaskContext.get().partitionId())
             for b in it:
                 for doc_id, text in zip(b.column(0).to_pylist(), binary(b.column(1)), strict=True):
                     yield from runs.add(doc_id, text)
