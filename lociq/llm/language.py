@@ -161,7 +161,9 @@ class Model:
         one = int(np.argmax(e.sum(axis=0)))
         gain = np.cumsum(e - e[:, [one]], axis=0)
         low = np.minimum.accumulate(np.vstack((np.zeros((1, gain.shape[1])), gain[:-1])), axis=0)
-        if (gain - low).max() <= self.switch:
+        # A path that visits this language switches at least once for each stretch without it; one that never does
+        # switches once less than it has stretches, so two stretches of over half a switch could pay.
+        if (gain - low).max() < self.switch / 2:
             return np.full(len(words), one), size
         return self._viterbi(e), size
 
