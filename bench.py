@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from lociq.plans import annotations, catalogue  # noqa: F401 (annotations registers its queries)
+from lociq.plans import annotations, catalogue, formats, reading, selections, strings, trees, views  # noqa: F401 (each registers its queries)
 from lociq.session import session
 
 

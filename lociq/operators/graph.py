@@ -79,9 +79,20 @@ def flood(pairs: DataFrame, seed: int, hops: int) -> DataFrame:
     return seen
 
 
-def viewport(nodes: DataFrame, layer: int, x1: float, x2: float, y1: float, y2: float) -> DataFrame:
-    """Nodes of a layer whose box (centre and radius) touches the rectangle, borders included."""
-    return nodes.where((F.col("layer") == layer) & (F.col("cx") - F.col("radius") <= x2) & (F.col("cx") + F.col("radius") >= x1) & (F.col("cy") - F.col("radius") <= y2) & (F.col("cy") + F.col("radius") >= y1))
+#: Columns of a node's box.
+BOX = ("x_lo", "x_hi", "y_lo", "y_hi")
+
+
+def boxed(nodes: DataFrame) -> DataFrame:
+    """Nodes with the box of centre and radius as columns that a scan can compare."""
+    box = (F.col("cx") - F.col("radius"), F.col("cx") + F.col("radius"), F.col("cy") - F.col("radius"), F.col("cy") + F.col("radius"))
+    return nodes.select("*", *[c.alias(n) for c, n in zip(box, BOX, strict=True)])
+
+
+def viewport(nodes: DataFrame, layer, x1: float, x2: float, y1: float, y2: float) -> DataFrame:
+    """Boxed nodes of a layer whose box touches the rectangle, borders included; without the boxes."""
+    touching = (F.col("x_lo") <= x2) & (F.col("x_hi") >= x1) & (F.col("y_lo") <= y2) & (F.col("y_hi") >= y1)
+    return nodes.where((F.col("layer") == layer) & touching).drop(*BOX)
 
 
 def grid(nodes: DataFrame, x1: float, x2: float, y1: float, y2: float, gw: int, gh: int) -> DataFrame:

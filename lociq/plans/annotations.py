@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lociq.operators import graph as G
 from lociq.operators import intervals as I
 from lociq.operators.components import connected_components
-from lociq.plans.catalogue import _BOX, ORACLES, QUERIES, REFERENCE, _rep, query  # noqa: F401 (the registry, filled by both modules)
+from lociq.plans.catalogue import _BOX, ORACLES, QUERIES, REFERENCE, _boxes, _nodes, _pairs, _rep, _visits_by_hap, query  # noqa: F401 (the registry, filled by both modules)
 from lociq.session import table
 from lociq.sources import projection as P
 
@@ -118,8 +118,7 @@ def inversion_fraction(spark, sf):
 SELECT node, (bit_or(1::BIGINT << (hap % 63)::INT) & ((1::BIGINT << 10) - 1) <> 0)::BIGINT AS by_mask, max((hap BETWEEN 0 AND 9)::BIGINT) AS exact FROM h GROUP BY 1""")
 def hap_filter(spark, sf):
     """Which leaves haplotypes 0 to 9 pass, by bucketed mask (a superset) and exactly."""
-    s = P.steps(spark, sf).select("contig", "seg_id").join(P.contigs(spark, sf).select("contig", "hap"), "contig").groupBy("seg_id")
-    d = s.agg(F.bit_or(F.expr("shiftleft(1L, cast(hap % 63 as int))")).alias("hm"), F.max(F.col("hap").between(0, 9).cast("long")).alias("exact"))
+    d = _visits_by_hap(spark, sf).groupBy("seg_id").agg(F.bit_or(F.expr("shiftleft(1L, cast(hap % 63 as int))")).alias("hm"), F.max(F.col("hap").between(0, 9).cast("long")).alias("exact"))
     return d.select(F.concat(F.lit("n"), "seg_id").alias("node"), F.expr("cast((hm & 1023L) != 0 as long)").alias("by_mask"), "exact")
 
 
@@ -137,8 +136,7 @@ def theta_ribbon_nodes(spark, sf):
 @query(f""", n AS (SELECT layer, count(*) AS n FROM geo WHERE {_BOX.format("layer")} GROUP BY 1)
 SELECT coalesce(max(CASE WHEN n <= 200 THEN layer END), 0) AS layer FROM n""")
 def pick_layer(spark, sf):
-    nodes = G.geometry(_rep(spark, sf))
-    n = G.viewport(nodes, F.col("layer"), 0.2, 0.8, 0.1, 0.7).groupBy("layer").agg(F.count("*").alias("n"))
+    n = G.viewport(_boxes(spark, sf), F.col("layer"), 0.2, 0.8, 0.1, 0.7).groupBy("layer").agg(F.count("*").alias("n"))
     return n.agg(F.coalesce(F.max(F.when(F.col("n") <= 200, F.col("layer"))), F.lit(0).cast("long")).alias("layer"))
 
 
@@ -219,7 +217,7 @@ cc AS (SELECT u AS seg_id, u AS root FROM nb UNION SELECT v, root FROM cc JOIN n
 SELECT seg_id, min(root) AS component FROM cc GROUP BY 1""")
 def components_repeated(spark, sf):
     """Components of the links that walks take twice or more."""
-    e = G.adjacency(P.steps(spark, sf)).where("n >= 2")
+    e = _pairs(spark, sf).where("n >= 2")
     return connected_components(e).withColumnRenamed("node", "seg_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import graph as G
 from lociq.sources import projection as P
+from lociq.store import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,21 +45,51 @@ _BOX = "layer = {0} AND cx - radius <= 0.8 AND cx + radius >= 0.2 AND cy - radiu
 
 
 def _rep(spark: SparkSession, sf: str) -> DataFrame:
-    return P.leaf_rep(P.segments(spark, sf))
+    return P.leaves(spark, sf)
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawn nodes of all layers."""
+    return _boxes(spark, sf).drop(*G.BOX)
+
+
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawn nodes with their boxes, one partition a layer, sorted by place: a viewport skips files by their bounds."""
+    return stored(spark, sf, "nodes", lambda: G.boxed(G.geometry(_rep(spark, sf))), by=("layer",), order=("x_lo", "y_lo"))
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct neighbours on walks."""
+    return stored(spark, sf, "pairs", lambda: G.adjacency(P.steps(spark, sf)), order=("a", "b"))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of all layers, one partition a layer."""
+    return stored(spark, sf, "edges", lambda: G.layer_edges(_pairs(spark, sf), _rep(spark, sf)), by=("layer",), order=("source", "target"))
+
+
+def _visits_by_hap(spark: SparkSession, sf: str) -> DataFrame:
+    """(seg_id, hap, covered, visits): walks folded by haplotype."""
+
+    def fold() -> DataFrame:
+        s = P.steps(spark, sf).select("contig", "seg_id", "bp").join(P.contigs(spark, sf).select("contig", "hap"), "contig")
+        return s.groupBy("seg_id", "hap").agg(F.sum("bp").alias("covered"), F.count("*").alias("visits"))
+
+    return stored(spark, sf, "visits", fold, order=("seg_id", "hap"))
 
 
 def _box(spark: SparkSession, sf: str, layer: int) -> DataFrame:
-    return G.viewport(G.geometry(_rep(spark, sf)), layer, 0.2, 0.8, 0.1, 0.7)
+    return G.viewport(_boxes(spark, sf), layer, 0.2, 0.8, 0.1, 0.7)
 
 
 @query(f"""SELECT g.node, g.bp, c.covered, c.hb FROM geo g JOIN (SELECT rep.node, sum(stp.bp)::BIGINT AS covered, count(DISTINCT hap) AS hb
 FROM stp JOIN ctg USING (contig) JOIN rep ON rep.seg_id = stp.seg_id AND layer = 1 GROUP BY 1) c ON c.node = g.node WHERE {_BOX.format(1)}""")
 def viewport_coverage(spark, sf):
     rep = _rep(spark, sf).where("layer = 1")
-    s = P.steps(spark, sf).select("contig", "seg_id", "bp").join(P.contigs(spark, sf).select("contig", "hap"), "contig")
-    folded = s.groupBy("seg_id", "hap").agg(F.sum("bp").alias("covered"))
-    c = folded.join(rep.select("seg_id", "node"), "seg_id").groupBy("node").agg(F.sum("covered").alias("covered"), F.count_distinct("hap").alias("hb"))
-    return _box(spark, sf, 1).select("node", "bp").join(c, "node").select("node", "bp", "covered", "hb")
+    box = _box(spark, sf, 1).select("node", "bp")
+    below = rep.select("seg_id", "node").join(box.select("node"), "node", "left_semi")  # the box first, then its coverage
+    c = _visits_by_hap(spark, sf).join(below, "seg_id").groupBy("node").agg(F.sum("covered").alias("covered"), F.count_distinct("hap").alias("hb"))
+    return box.join(c, "node").select("node", "bp", "covered", "hb")
 
 
 @query("SELECT contig, pos, seg_id, ori, bp, start, stop FROM stp")
@@ -86,7 +117,7 @@ def path_groups_rollup(spark, sf):
 
 @query("SELECT a, b, n FROM adj")
 def adjacency_pairs(spark, sf):
-    return G.adjacency(P.steps(spark, sf))
+    return _pairs(spark, sf)
 
 
 @query("SELECT seg_id, contig, sum(bp)::BIGINT AS covered FROM stp GROUP BY 1, 2")
@@ -98,26 +129,24 @@ def segment_incidence(spark, sf):
 SELECT rep.layer, rep.node, hap, greatest(1, least(255, round_even(255.0::DOUBLE * sum(stp.bp)::DOUBLE / any_value(size)::DOUBLE, 0)))::BIGINT AS cov
 FROM stp JOIN ctg USING (contig) JOIN rep ON rep.seg_id = stp.seg_id JOIN sz ON sz.layer = rep.layer AND sz.node = rep.node WHERE rep.layer < 3 GROUP BY 1, 2, 3""")
 def layer_coverage(spark, sf):
-    s = P.steps(spark, sf).join(P.contigs(spark, sf).select("contig", "hap"), "contig")
-    return G.layer_coverage(s, _rep(spark, sf).where("layer < 3"), "hap")
+    return G.layer_coverage(_visits_by_hap(spark, sf).withColumnRenamed("covered", "bp"), _rep(spark, sf).where("layer < 3"), "hap")
 
 
 @query("SELECT layer, node, count(DISTINCT hap) AS hb FROM stp JOIN ctg USING (contig) JOIN rep ON rep.seg_id = stp.seg_id GROUP BY 1, 2")
 def hap_breadth_nodes(spark, sf):
-    s = P.steps(spark, sf).join(P.contigs(spark, sf).select("contig", "hap"), "contig").select("seg_id", "hap").distinct()
-    return s.join(_rep(spark, sf).select("seg_id", "layer", "node"), "seg_id").groupBy("layer", "node").agg(F.count_distinct("hap").alias("hb"))
+    return _visits_by_hap(spark, sf).select("seg_id", "hap").join(_rep(spark, sf).select("seg_id", "layer", "node"), "seg_id").groupBy("layer", "node").agg(F.count_distinct("hap").alias("hb"))
 
 
 @query("SELECT layer, node, bit_or(1::BIGINT << (hap % 63)::INT) AS hm FROM stp JOIN ctg USING (contig) JOIN rep ON rep.seg_id = stp.seg_id GROUP BY 1, 2")
 def hap_mask(spark, sf):
-    s = P.steps(spark, sf).join(P.contigs(spark, sf).select("contig", "hap"), "contig").groupBy("seg_id").agg(F.bit_or(F.expr("shiftleft(1L, cast(hap % 63 as int))")).alias("m"))
+    s = _visits_by_hap(spark, sf).groupBy("seg_id").agg(F.bit_or(F.expr("shiftleft(1L, cast(hap % 63 as int))")).alias("m"))
     return s.join(_rep(spark, sf).select("seg_id", "layer", "node"), "seg_id").groupBy("layer", "node").agg(F.bit_or("m").alias("hm"))
 
 
 @query(""", v AS (SELECT seg_id, hap, least(count(*), 255) AS cn FROM stp JOIN ctg USING (contig) GROUP BY 1, 2)
 SELECT layer, node, hap, max(cn)::BIGINT AS cn FROM v JOIN rep USING (seg_id) WHERE layer >= 2 GROUP BY 1, 2, 3""")
 def copy_number(spark, sf):
-    v = P.steps(spark, sf).join(P.contigs(spark, sf).select("contig", "hap"), "contig").groupBy("seg_id", "hap").agg(F.least(F.count("*"), F.lit(255)).alias("cn"))
+    v = _visits_by_hap(spark, sf).select("seg_id", "hap", F.least("visits", F.lit(255)).alias("cn"))
     return v.join(_rep(spark, sf).where("layer >= 2").select("seg_id", "layer", "node"), "seg_id").groupBy("layer", "node", "hap").agg(F.max("cn").cast("long").alias("cn"))
 
 
@@ -131,7 +160,7 @@ FROM adj JOIN rep p ON p.seg_id = a AND p.layer = 2 JOIN rep q ON q.seg_id = b A
 SELECT source, target, n FROM led WHERE source IN (SELECT node FROM vis) OR target IN (SELECT node FROM vis)""")
 def viewport_edges(spark, sf):
     vis = _box(spark, sf, 2).select("node")
-    e = G.layer_edges(G.adjacency(P.steps(spark, sf)), _rep(spark, sf).where("layer = 2")).drop("layer")
+    e = _edges(spark, sf).where("layer = 2").drop("layer")
     near = e.join(vis, e["source"] == vis["node"], "left_semi").unionByName(e.join(vis, e["target"] == vis["node"], "left_semi"))
     return near.dropDuplicates(["source", "target"])
 
@@ -149,13 +178,13 @@ def viewport_counts(spark, sf):
 
 @query("SELECT layer, node, leaves, bp, cx, cy, radius, angle FROM geo")
 def subtree_moments(spark, sf):
-    return G.geometry(_rep(spark, sf))
+    return _nodes(spark, sf)
 
 
 @query("""SELECT layer, least(p_node, q_node) AS source, greatest(p_node, q_node) AS target, sum(n)::BIGINT AS n FROM
 (SELECT p.layer, p.node AS p_node, q.node AS q_node, n FROM adj JOIN rep p ON p.seg_id = a JOIN rep q ON q.seg_id = b AND q.layer = p.layer) WHERE p_node <> q_node GROUP BY 1, 2, 3""")
 def layer_edges(spark, sf):
-    return G.layer_edges(G.adjacency(P.steps(spark, sf)), _rep(spark, sf))
+    return _edges(spark, sf)
 
 
 _REF = f"""rf AS (SELECT stp.* FROM stp JOIN ctg USING (contig) WHERE sample = '{REFERENCE}'),
@@ -165,7 +194,7 @@ ref AS (SELECT layer, node, min(s) AS ref_bp, max(e) AS ref_bp_end, min(c0) AS r
 
 def _reference(spark, sf):
     ref = P.contigs(spark, sf).where(F.col("sample") == REFERENCE).select("contig")
-    return G.reference(P.steps(spark, sf).join(ref, "contig"), _rep(spark, sf))
+    return stored(spark, sf, "reference", lambda: G.reference(P.steps(spark, sf).join(ref, "contig"), _rep(spark, sf)), by=("layer",), order=("ref_bp",))
 
 
 @query(f", {_REF} SELECT layer, node, ref_bp, ref_bp_end, ref_contig, ref_multi, 1 - ref_multi AS is_anchor, ref_strand FROM ref")
@@ -218,7 +247,7 @@ def read_postings(spark, sf):
 fl AS (SELECT 1::BIGINT AS seg_id, 0::BIGINT AS hop UNION SELECT v, hop + 1 FROM fl JOIN nb ON u = seg_id WHERE hop < 2)
 SELECT seg_id, min(hop) AS hop FROM fl GROUP BY 1""")
 def flood_hops(spark, sf):
-    return G.flood(G.adjacency(P.steps(spark, sf)), 1, 2)
+    return G.flood(_pairs(spark, sf), 1, 2)
 
 
 @query(f""", {_REF} SELECT ref_contig || chr(9) || ref_bp || chr(9) || greatest(ref_bp_end, ref_bp + 1) || chr(9) || node || chr(9) || (CASE WHEN ref_multi = 1 THEN 0 ELSE 1000 END) || chr(9) || (CASE WHEN ref_strand = 1 THEN '+' ELSE '-' END) AS line FROM ref WHERE layer = 3""")
@@ -231,8 +260,7 @@ def export_bed_lines(spark, sf):
 d AS (SELECT count(*) AS depth FROM rds GROUP BY seg_id), o AS (SELECT depth, row_number() OVER (ORDER BY depth) AS r, count(*) OVER () AS n FROM d)
 SELECT (SELECT max(hb) FROM h) AS max_hb, (SELECT max(depth) FROM o WHERE r = greatest(0, floor(0.99 * n) - 1) + 1) AS p99_depth""")
 def max_scales(spark, sf):
-    s = P.steps(spark, sf).join(P.contigs(spark, sf).select("contig", "hap"), "contig")
-    hb = s.groupBy("seg_id").agg(F.count_distinct("hap").alias("hb")).agg(F.max("hb").alias("max_hb"))
+    hb = _visits_by_hap(spark, sf).groupBy("seg_id").agg(F.count("*").alias("hb")).agg(F.max("hb").alias("max_hb"))
     by = P.reads(spark, sf).groupBy("seg_id").agg(F.count("*").alias("depth")).groupBy("depth").agg(F.count("*").alias("n"))  # a histogram: few rows
     w = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = by.select("depth", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociq.session import table
+from lociq.store import stored
 
 STEP_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
 
@@ -26,7 +27,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(contig, sample, hap, hap_id): the walks that orders name."""
+    """(contig, sample, hap): the walks that orders name."""
+    return stored(spark, sf_dir, "contigs", lambda: _contigs(spark, sf_dir))
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -38,6 +43,10 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig, pos, seg_id, ori, bp, start, stop): oriented steps with cumulative offsets along each walk."""
+    return stored(spark, sf_dir, "steps", lambda: _steps(spark, sf_dir), order=("contig", "pos"))
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *STEP_ORDER)  # noqa: E741
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("bp"))
     along = Window.partitionBy("l_orderkey").orderBy(*STEP_ORDER)
@@ -60,8 +69,17 @@ def leaf_rep(seg: DataFrame) -> DataFrame:
     return seg.select("*", F.posexplode(names).alias("depth", "node")).select(*seg.columns, F.col("depth").cast("long").alias("layer"), "node")
 
 
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leaf_rep without sequences, one partition a layer."""
+    return stored(spark, sf_dir, "leaf_rep", lambda: leaf_rep(segments(spark, sf_dir).drop("seq50")), by=("layer",), order=("seg_id",))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(aln, pos, seg_id, bp): alignments by supplier and year of shipment, their paths in order."""
+    return stored(spark, sf_dir, "reads", lambda: _reads(spark, sf_dir), order=("aln", "pos"))
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")  # noqa: E741
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("bp"))
     aln = F.col("l_suppkey") * 10000 + F.year("l_shipdate")
