@@ -74,5 +74,18 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
+#: Base 32 as to_base writes it, and as digests are written.
+_DIGITS = " || ".join(f"to_base(('0x' || substring(h, {5 * i + 1}, 5))::BIGINT, 32, 4)" for i in range(8))
+WARC_ORACLE = rf"""
+WITH d AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d),
+u AS (SELECT *, lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1), '^www\.', '')) AS host,
+  regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS way, regexp_extract(url, '^[^#?]*([?][^#]+)', 1) AS asked FROM g)
+SELECT page_id, payload_bytes, translate({_DIGITS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(CASE way WHEN '' THEN '/' ELSE way END || asked) AS url_key,
+  strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM u"""
+
 #: DuckDB twins; the other queries are tested against brute force in tests/llm.
-ORACLES = {"op5_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {"op3_warc": WARC_ORACLE, "op5_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE}
