@@ -31,15 +31,17 @@ def thresholds(tree: DataFrame, aims: Sequence[int]) -> list[int]:
     rows = sorted((r["w"], r["n"] * r["side"]) for r in born.unionByName(gone).collect())
     # Alive at t: weight <= t < parent weight. count(t) = #{parent > t} - #{weight > t}.
     values = sorted({w for w, _ in rows if w < big})
+    ends = [v - 1 for v in values[1:]] + values[-1:]  # between two weights nothing changes: the largest threshold of each stretch
     count, above, at = {}, 0, len(rows) - 1
-    for t in reversed(values):
+    for t in reversed(ends):
         while at >= 0 and rows[at][0] > t:
             above += rows[at][1]
             at -= 1
         count[t] = above
     out: list[int] = []
     for aim in aims[:-1]:
-        fit = [t for t in values if count[t] >= aim and (not out or t < out[-1])]
+        below = out[-1] if out else big
+        fit = [min(e, below - 1) for v, e in zip(values, ends, strict=True) if count[e] >= aim and v < below]
         if fit and fit[-1] > 1:
             out.append(fit[-1])
     return [*out, 1]

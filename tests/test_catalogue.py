@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lociq.plans import annotations, catalogue  # noqa: F401 (annotations registers its queries)
+from lociq.plans import annotations, catalogue, formats, reading, selections, strings, trees, views  # noqa: F401 (each registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -13,7 +13,7 @@ def _sorted(rows):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_equals_twin(spark, name):
     db = duckdb.connect()
     for t in TABLES:
