@@ -1,11 +1,14 @@
 """BPE encoding and decoding by tree concatenation.
 
-White space always separates words of the vocabulary file's splitter, so a text is the concatenation of its runs
-without white space. Short runs go to the tokenizers library (each distinct one once for as long as it is remembered).
-A long unsplit run is halved again and again; its leaves are encoded in one parallel batch, and each join is repaired: a
-window of tokens around it is encoded anew and grows until the tokens at its rims are those which both sides already
-have there; the rest of both sides is kept. A BPE token sequence is right if each two neighbours are, so equal rim
-tokens prove the whole.
+A text is halved again and again, wherever the cut falls, down to leaves of `leaf` bytes. All words of all leaves are
+encoded in one parallel batch (each distinct one once for as long as it is remembered); then neighbours are joined, level
+by level. White space always separates words of the vocabulary file's splitter, so the window around a join that must be
+encoded anew grows to the white space on either side: the words beyond it are the same alone and joined.
+
+A run without white space of more than `leaf` characters goes by the tree of its own characters: the leaves are encoded
+in one batch, and each join is repaired: a window of tokens around it is encoded anew and grows until the tokens at its
+rims are those which both sides already have there; the rest of both sides is kept. A BPE token sequence is right if each
+two neighbours are, so equal rim tokens prove the whole.
 
 Defined results: a null text counts as empty and has no tokens; special tokens in a text are found as the library does;
 repeated rows each have their row; an empty table gives an empty result; other columns are not read.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,13 +34,13 @@ from lociq.session import pick
 class TreeBpe:
     """An encoder equal to Tokenizer.from_file(path) with add_special_tokens=False.
 
-    leaf: characters of the longest run that is encoded whole; window: tokens on either side of a join to begin with;
-    keep: words remembered by each worker."""
+    leaf: bytes of a leaf of a text, and characters of the longest run that is encoded whole; window: tokens on either
+    side of a join to begin with; keep: words remembered by each worker."""
 
     path: str
     leaf: int = 4096
     window: int = 16
-    keep: int = 800_000
+    keep: int = 200_000
     joins: int = field(default=0, init=False)
 
     def __post_init__(self) -> None:
@@ -52,7 +56,8 @@ class TreeBpe:
         kw = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback") if model.get(k)}
         self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **kw))
         self.last = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **kw, **({"end_of_word_suffix": self.suffix} if self.suffix else {})))
-        self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.joined = spec.get("decoder") is None  # then decoding puts one space between tokens
         self.memo: dict[bytes, tuple[int, str, str]] = {}
         self.by_id = {v: k for k, v in self.whole.get_vocab(with_added_tokens=True).items()}
@@ -61,13 +66,32 @@ class TreeBpe:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return [i for w in text.encode().split() for i in self.encode_run(w.decode())]
-
-    def encode_run(self, run: str) -> list[int]:
-        """The ids of a run without white space."""
-        if len(run) <= self.leaf:
-            return self.whole.encode(run, add_special_tokens=False).ids
-        return self._run(run)
+        return [int(i) for _, ids, _ in self.encode_many([text.encode()]) for i in ids.split()]
+
+    def leaves(self, text: bytes) -> list[bytes]:
+        """The text in halves of halves, cut between characters, none larger than leaf."""
+        cuts = [0, len(text)]
+        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > max(self.leaf, 8):
+            new = cuts[:1]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b - a > max(self.leaf, 8):
+                    mid = (a + b) // 2
+                    while text[mid] & 0xC0 == 0x80:  # within a character
+                        mid -= 1
+                    new.append(mid)
+                new.append(b)
+            cuts = new
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def join(self, left: tuple[bytes, list[bytes], bytes], right: tuple[bytes, list[bytes], bytes]) -> tuple[bytes, list[bytes], bytes]:
+        """Two neighbours (first byte, words, last byte) as one: a word that the cut has split is whole again."""
+        (a, x, b), (c, y, d) = left, right
+        self.joins += 1
+        if x and y and not b.isspace() and not c.isspace():
+            x = [*x[:-1], x[-1] + y[0]] + y[1:]
+        else:
+            x = x + y
+        return a, x, d
 
     def learn(self, words: set[bytes]) -> None:
         """Remember what words encode to; all that is remembered goes when it would exceed keep."""
@@ -85,10 +109,14 @@ class TreeBpe:
 
     def _run(self, run: str) -> list[int]:
         """A long run: special tokens are cut out, the rest is normalized and split, long words go by the tree."""
-        found = min(((at, s) for s in self.special if (at := run.find(s)) >= 0), default=None)
-        if found:
-            at, s = found
-            return self._run(run[:at]) + [self.whole.token_to_id(s)] + self._run(run[at + len(s) :])
+        out, at = [], 0
+        for m in self.special.finditer(run):
+            out += self._plain(run[at : m.start()])
+            out.append(self.whole.token_to_id(m[0]))
+            at = m.end()
+        return out + self._plain(run[at:])
+
+    def _plain(self, run: str) -> list[int]:
         if not run:
             return []
         norm = self.whole.normalizer.normalize_str(run) if self.whole.normalizer else run
@@ -136,9 +164,14 @@ class TreeBpe:
 
     def encode_many(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Of each UTF-8 text: number of tokens, the ids in decimal, and the decoded text."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
+        trees = [[(x[:1], x.split(), x[-1:]) for x in self.leaves(t)] for t in texts]
+        self.learn({w for parts in trees for _, words, _ in parts for w in words})
+        for i, parts in enumerate(trees):
+            while len(parts) > 1:  # pairs of neighbours, level by level
+                parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+            trees[i] = parts[0][1]
+        self.learn({w for words in trees for w in words})
+        for words in trees:
             parts = [x for x in map(self.memo.__getitem__, words) if x[0]]
             n, ids, said = zip(*parts, strict=True) if parts else ((), (), ())
             joined = " ".join(ids)
