@@ -1,7 +1,7 @@
 """Quality rules, line first, in DataFrame functions alone.
 
 Each line is judged by itself: punctuation (no sentence end in a long stretch, shouting, symbols stuck to words),
-navigation (menus and separators) and boilerplate (notices). Failing lines are taken out; a document that loses too large
+navigation (menus and separators) and boilerplate (one notice phrase or more for each 40 words). Failing lines are taken out; a document that loses too large
 a share of its words is rejected, as is one that fails the base rules on its whole text. Nothing is shuffled: every
 figure comes from the row itself.
 
@@ -26,8 +26,8 @@ TERMINAL = r"""[.!?…]["\'”’»)\\]]*[ \\t\\x0B\\f\\r]*$"""
 SENTENCE = r"[.!?…]([ \\t]|$)"
 BOILERPLATE = ("cookie", "javascript", "all rights reserved", "copyright", "©", "terms of use", "terms of service", "privacy policy", "sign up", "log in", "subscribe", "newsletter", "click here", "read more", "lorem ipsum")
 WINDOW = 8
-#: Characters of a line that may be a notice.
-SHORT = 240
+#: Words of a line for each notice phrase in it at which it still counts as a notice.
+NOTICE = 40
 
 
 def _count(text: str, chars: str) -> str:
@@ -41,12 +41,12 @@ def _words(line: str) -> str:
 
 
 def line_fails(max_run: int = 60) -> str:
-    """SQL over a line `l`, its number of words `w` and, if short, its lower case `s`: it fails a rule."""
+    """SQL over a line `l`, its number of words `w` and its lower case `s`: it fails a rule."""
     punctuation = f"(not l rlike '{TERMINAL}' and size(regexp_extract_all(l, '{SENTENCE}', 0)) * {max_run} < w)"
     shouting = "(char_length(l) - char_length(replace(l, '!!', ''))) * 5 > 2 * w"
     symbols = f"{_count('l', SYMBOLS)} * 5 > w"
     navigation = f"{_count('l', SEPARATORS)} * 4 >= w"
-    notice = " or ".join(f"contains(s, '{x}')" for x in BOILERPLATE)
+    notice = f"({' + '.join(f"cast(contains(s, '{x}') as int)" for x in BOILERPLATE)}) * {NOTICE} >= w"
     return " or ".join((navigation, symbols, shouting, punctuation, notice))
 
 
@@ -69,7 +69,7 @@ def assess(docs: DataFrame, max_lost: int = 50, id_col: str = "doc_id", text_col
     d = d.withColumn("sorted", F.expr("case when size(array_distinct(win)) < size(win) then sort_array(transform(win, (h, p) -> struct(h, p))) end")).drop("ids", "win")
     d = d.withColumn("at", F.expr("sort_array(transform(filter(sorted, (s, j) -> get(sorted, j - 1).h = s.h or get(sorted, j + 1).h = s.h), s -> s.p))")).drop("sorted")
     d = d.withColumn("n_repeat_words", F.expr(f"coalesce(aggregate(transform(at, (p, j) -> least({WINDOW}, coalesce(get(at, j + 1), p + {WINDOW}) - p)), 0L, (s, x) -> s + x), 0L)")).drop("at")
-    judged = f"transform(lines, l -> struct(l, {_words('l')} as w, if(char_length(l) <= {SHORT}, lower(l), '') as s))"
+    judged = f"transform(lines, l -> struct(l, {_words('l')} as w, lower(l) as s))"
     lost = line_fails()
     d = d.withColumn("judged", F.expr(judged)).drop("lines")
     cond = _over_struct(lost)
@@ -89,7 +89,7 @@ def _over_struct(cond: str) -> str:
 def cleaned_text(text: str = "text") -> str:
     """SQL: the text without its failing lines; lines without words stay."""
     bad = f"l rlike '[^{SPACE}]' and ({line_fails()})"
-    pairs = f"transform(split({text}, '\\n', -1), l -> struct(l, {_words('l')} as w, if(char_length(l) <= {SHORT}, lower(l), '') as s))"
+    pairs = f"transform(split({text}, '\\n', -1), l -> struct(l, {_words('l')} as w, lower(l) as s))"
     return f"array_join(transform(filter({pairs}, x -> not ({_over_struct(bad)})), x -> x.l), '\\n')"
 
 
@@ -107,7 +107,7 @@ f AS (SELECT rid, l, w,
   OR (length(l) - length(replace(l, '!!', ''))) * 5 > 2 * w
   OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) * 5 > w
   OR length(regexp_replace(l, '[^|>»·•]', '', 'g')) * 4 >= w
-  OR (length(l) <= 240 AND regexp_matches(lower(l), 'cookie|javascript|all rights reserved|copyright|©|terms of (use|service)|privacy policy|sign up|log in|subscribe|newsletter|click here|read more|lorem ipsum')) AS bad
+  OR len(list_filter(['cookie', 'javascript', 'all rights reserved', 'copyright', '©', 'terms of use', 'terms of service', 'privacy policy', 'sign up', 'log in', 'subscribe', 'newsletter', 'click here', 'read more', 'lorem ipsum'], lambda x: contains(lower(l), x))) * 40 >= w AS bad
   FROM m WHERE w > 0),
 g AS (SELECT rid, sum(CASE WHEN bad THEN w ELSE 0 END) AS lost, count(*) - count(DISTINCT l) AS dup FROM f GROUP BY rid),
 o AS (SELECT d.doc_id, len(w.ws) AS n_words, length(regexp_replace(d.text, '[ \t\n\x0B\f\r]', '', 'g')) AS word_chars,
