@@ -17,7 +17,6 @@ repeated rows each have their row; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter
@@ -26,7 +25,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.text import batches, binary
@@ -51,7 +51,7 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
 _NAMES = list(SCRIPTS)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def script_of(word: str) -> int:
@@ -207,11 +207,12 @@ def fold(doc_id: int | None, folds: int) -> int:
 
 
 def fit(docs: DataFrame, per_lang: int = 1500, folds: int = 3) -> Model:
-    """docs(doc_id, text, lang)."""
+    """The model of docs(doc_id, text, lang), from about per_lang labelled documents of each language, chosen by hashed id."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds != 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(f"r <= {per_lang}").select("doc_id", F.col("lang").alias("_l")).distinct()
-    rows = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("_l")) & (labelled["doc_id"].eqNullSafe(chosen["doc_id"]))).select("lang", "text")  # per_lang rows a language
+    # A share of each language by hashed id: no row of text or key meets the others of its language in one task.
+    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")  # one row a language
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
