@@ -12,7 +12,8 @@ of bounded size; each returns its best, and the best of all are ranked.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without id, take no part; missing
 components of shorter vectors count as zero; an id is never a candidate for itself, whichever row it stands in; repeated
-rows of a query are one query, rows of one id with different vectors are ranked apart; repeated candidates each count.
+rows of a query are one query, rows of one id with different vectors are ranked apart; repeated candidates each count;
+a score that no 64-bit integer can hold is given as the nearest one; other columns are not read.
 """
 
 from __future__ import annotations
