@@ -135,7 +135,8 @@ def bubble_forest(spark, sf):
         root = g.agg(kids("id").alias("k")).select(F.concat(F.lit("D\t0\t.\t"), "k").alias("line"))
         groups = s.join(g.select("brand", F.col("id").alias("gid")), "brand").groupBy("gid").agg(kids("id").alias("k")).select(F.concat_ws("\t", F.lit("C"), "gid", F.lit("."), "k").alias("line"))
         leaves = s.select(F.concat_ws("\t", F.lit("F"), "id", F.concat(F.lit(">"), "a", F.lit("<"), "z"), F.lit(".")).alias("line"))
-        return spark.createDataFrame([("H\tversion\tx\ty",)], "line string").unionByName(root).unionByName(groups).unionByName(leaves)
+        head = spark.createDataFrame([("H\tversion\tx\ty",)], "line string")
+        return head.unionByName(root).unionByName(groups).unionByName(leaves).coalesce(1)  # bubbles are numbered within a file; these are a dictionary
 
     b = forest.pvst(spark, stored_lines(spark, sf, "bubbles.pvst", lines))
     up = forest.closure(b.select(F.col("bubble").alias("node"), "parent"))
