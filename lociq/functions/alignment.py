@@ -53,7 +53,7 @@ def cs_to_cigar(cs: Column) -> Column:
         ).otherwise(F.concat(acc, F.array(o))),
     )
     text = F.array_join(F.transform(merged, lambda o: F.concat(o["n"].cast("string"), o["k"])), "")
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def cs_has_difference(cs: Column) -> Column:
@@ -130,5 +130,10 @@ def cigar_slice(cigar: Column, lo: Column, hi: Column, reverse: Column | None =
 
 def cigar_totals(cigar: Column) -> Column:
     """Struct (match, mismatch, inserted, deleted) of bases; M counts as a match."""
-    total = lambda *ops: F.aggregate(F.filter(cigar_spans(cigar), lambda o: o["op"].isin(*ops)), F.lit(0), lambda s, o: s + o["len"])
-    return F.struct(total("=", "M").alias("match"), total("X").alias("mismatch"), total("I").alias("inserted"), total("D").alias("deleted"))
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("match", "mismatch", "inserted", "deleted")])
+
+    def put(acc: Column, o: Column) -> Column:
+        add = lambda name, *kinds: (acc[name] + F.when(o["op"].isin(*kinds), o["len"]).otherwise(0)).alias(name)
+        return F.struct(add("match", "=", "M"), add("mismatch", "X"), add("inserted", "I"), add("deleted", "D"))
+
+    return F.aggregate(cigar_spans(cigar), zero, put)
