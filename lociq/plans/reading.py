@@ -100,7 +100,7 @@ def read_search(spark, sf):
 
 
 def related(read_parts: DataFrame, node: int, have: list[int], limit: int = 4, seeds: int = 2000) -> DataFrame:
-    """(seg_id, shared, offset, votes): the nodes that most of the alignments through a node share, with the median of
+    """(seg_id, shared, median_offset, votes): the nodes that most of the alignments through a node share, with the median of
     their offsets from it and the strand votes. At most `seeds` alignments count: those that reach an end of the node
     (within 4 bases) first, then by mapq."""
     mine = first_visits(read_parts.where(F.col("seg_id") == node))
@@ -109,12 +109,12 @@ def related(read_parts: DataFrame, node: int, have: list[int], limit: int = 4, s
     others = first_visits(read_parts.where(~F.col("seg_id").isin([node, *have])).join(F.broadcast(seed), "aln"))  # at most `seeds` rows
     offset = F.when(F.col("ori0") == 1, F.col("off") - F.col("off0")).otherwise(F.col("off0") - F.col("off"))
     vote = F.when(F.col("ori") == F.col("ori0"), 1).otherwise(-1)
-    d = others.groupBy("seg_id").agg(F.count("*").alias("shared"), F.percentile(offset, F.lit(0.5)).alias("offset"), F.sum(vote).alias("votes"))
+    d = others.groupBy("seg_id").agg(F.count("*").alias("shared"), F.percentile(offset, F.lit(0.5)).alias("median_offset"), F.sum(vote).alias("votes"))
     return d.orderBy(F.desc("shared"), "seg_id").limit(limit)
 
 
 @query(f""", {_PARTS}, sd AS (SELECT aln, off AS off0, ori AS ori0 FROM frs WHERE seg_id = 17 ORDER BY (a0 - off <= 4 OR off + bp - a1 <= 4)::INT DESC, mapq DESC, aln LIMIT 2000)
-SELECT seg_id, count(*) AS shared, quantile_cont(CASE WHEN ori0 = 1 THEN off - off0 ELSE off0 - off END, 0.5)::DOUBLE AS offset, sum(CASE WHEN ori = ori0 THEN 1 ELSE -1 END)::BIGINT AS votes
+SELECT seg_id, count(*) AS shared, quantile_cont(CASE WHEN ori0 = 1 THEN off - off0 ELSE off0 - off END, 0.5)::DOUBLE AS median_offset, sum(CASE WHEN ori = ori0 THEN 1 ELSE -1 END)::BIGINT AS votes
 FROM frs JOIN sd USING (aln) WHERE seg_id NOT IN (17, 3, 5) GROUP BY 1 ORDER BY shared DESC, seg_id LIMIT 20""")
 def expand_node(spark, sf):
     return related(parts(spark, sf), 17, [3, 5], 20)
