@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -61,9 +62,35 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within go when it ends, but for those written with keep: their folders at once, the
+    shuffle files of the finished jobs as soon as the driver has collected their plans."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete_path(spark, path)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context cleaner drop the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Within scratch() the table goes at its end, unless keep."""
     path = new_path(df.sparkSession, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
