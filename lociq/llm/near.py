@@ -12,17 +12,30 @@ and a set with more emits all of them. Either way two linked sets still share a
 
 Sharing a signature makes sets candidates. A parity sketch (which hashed cells hold an odd number of features) gives a
 lower bound on the symmetric difference and drops most of those that are not linked; every link is verified on the whole
-sets. In a group of sets that share a signature all are first compared with one of them; only what is then still in
-different components is compared with each other, so groups of copies need no pairs. Equal sets are one node throughout.
+sets. Groups that have one member in common, which shares most signatures with the others, are taken together.
+
+A group is never compared pair by pair. Its consensus H holds the features that most of its members have. With
+s = num / (num + den), sets i and j are linked if |i and j| >= s (|i| + |j|). The hub h is the member with the largest
+|h and H| - s |h|; it is compared with all others. A linked pair then is joined through h, or else
+  - shares at least s (least + |j|) - |j and H| features outside H, least being the smallest size in the group, so that
+    the first features of j outside H (in the order of their hashes) are enough to meet in, or
+  - shares nothing outside H and lacks a feature of H in common: otherwise |i and j| = |i and H| + |j and H| - |H|, and
+    as no member has a larger |h and H| - s |h|, both are linked with h.
+So members are grouped anew by features outside H that they have and by features of H that they lack; both are what
+fewer than most members do, so groups halve and soon end. Groups of up to SHARE members are settled so within a task;
+of a larger one, SHARE members or so vote on the consensus (any H gives right results), all others meet it, and then the
+hub, in any number of tasks, and its parts are groups of the next round. Work follows the rows of the groups and not their
+squares. Equal sets are one node throughout.
 
 Defined results: lower-cased A-Z, words [^\\x20\\x09-\\x0D]+; fewer words than a shingle make one shingle; a null or empty
 text has no shingles, is linked with nothing and is its own component; a row without id has no component unless another
-row gives it one; rows that share an id are rows of their own; an empty table gives an empty result; other columns are
-not read.
+row gives it one (where candidates are numbered it stands under the least id, which can add candidates but no link);
+rows that share an id are rows of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -30,23 +43,29 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.text import U, WordIds, batches, binary, mix, pack, pack_signed, pack_sorted, shingle_set, slices, unpack, unpack_signed, unpack_sorted, words_of
 from lociq.operators.components import connected_components
-from lociq.session import materialize, partitions, pick
+from lociq.session import materialize, partitions, pick, release, scratch
 
 #: Signatures of a run; bounds a task's memory.
-RUN = 2_000_000
+RUN = 500_000
 #: Sets of one signature in a run above which only one of them is sent to the signature's bucket.
 HOT = 64
 #: Features that a signature should hold on average, and those below which it is weak.
 AIM, WEAK = 3.0, 1
 NULL_ID = -(1 << 63)
 
-_RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("f", pa.binary()), ("d", pa.binary()), ("ids", pa.binary())])
-_RUNS_SQL = "bucket int, kind byte, f binary, d binary, ids binary"
+#: Members of a group that one task settles, and that one copy of a larger group's consensus serves.
+SHARE = 128
+
+_RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("f", pa.binary()), ("d", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+_RUNS_SQL = "bucket int, kind byte, f binary, d binary, ids binary, id long, n long, node binary, sketch array<long>"
+_FOUND = pa.schema([("gid", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+_FOUND_SQL = "gid long, id long, n long, node binary, sketch array<long>"
 
 
 class Bands:
@@ -120,10 +139,9 @@ class Signer:
         return keys.reshape(-1)
 
 
-def set_key(features: np.ndarray) -> int:
-    """A signed 64-bit identity of a set."""
-    x = int(mix(mix(features + U(0x51ED270B)).sum(dtype=U)[None] + U(len(features)))[0])
-    return x - (1 << 64) if x >> 63 else x
+def set_key(features: np.ndarray) -> bytes:
+    """A 128-bit identity of a set."""
+    return hashlib.blake2b(np.ascontiguousarray(features).tobytes(), digest_size=16).digest()
 
 
 def sketch(features: np.ndarray) -> list[int]:
@@ -144,26 +162,12 @@ def _plausible(num: int, den: int) -> str:
     return f"na * {den} >= nb * {num} and nb * {den} >= na * {num} and {least} * {den + num} <= (na + nb) * {den - num}"
 
 
-def shingle_table(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, node, sketch) of docs(id, text): size, identity and sketch of each shingle set; null for empty sets."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-
-    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
-
-        def rows() -> Iterator[tuple]:
-            for b in it:
-                for i, t in zip(b.column(0).to_pylist(), binary(b.column(1)), strict=True):
-                    s = shingle_set(words.of(words_of(t, True)), k)
-                    yield i, len(s), set_key(s) if len(s) else None, sketch(s) if len(s) else None
-
-        yield from batches(rows(), schema, 5000)
-
-    return docs.mapInArrow(make, "id long, n long, node long, sketch array<long>")
+_NO_SET = (None, None, None, None)
 
 
 def signature_runs(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Sorted runs of (signature, id), cut into hash ranges; a set that a task meets again is left out."""
+    """One pass over docs(id, text): of every row its set's size, identity and sketch (kind 3), and sorted runs of
+    (signature, id), cut into hash ranges; the signatures of a set that a task meets again are left out."""
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = WordIds(), Signer(num, den)
@@ -183,14 +187,14 @@ def signature_runs(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
             first[head] = True
             if hot.any():
                 # Any task may read them; the place depends on the rows alone, so that a rerun sends them there again.
-                yield int((f[hot] ^ mix(d[hot].view(U))).sum(dtype=U) % U(buckets)), 1, pack_sorted(f[hot]), b"", pack_signed(d[hot])
+                yield int((f[hot] ^ mix(d[hot].view(U))).sum(dtype=U) % U(buckets)), 1, pack_sorted(f[hot]), b"", pack_signed(d[hot]), *_NO_SET
             for kind, mask in ((0, ~hot), (2, hot & first)):
                 fk, dk = f[mask], d[mask]
                 cuts = [0, *slices(fk << U(16), buckets), len(fk)]
                 for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if hi > lo:
                         used, back = np.unique(dk[lo:hi], return_inverse=True)
-                        yield b, kind, pack_sorted(fk[lo:hi]), pack(back.astype(U)), pack_signed(used)
+                        yield b, kind, pack_sorted(fk[lo:hi]), pack(back.astype(U)), pack_signed(used), *_NO_SET
 
         def rows() -> Iterator[tuple]:
             keys: list[np.ndarray] = []
@@ -199,7 +203,12 @@ def signature_runs(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
             for b in it:
                 for i, t in zip(b.column(0).to_pylist(), binary(b.column(1)), strict=True):
                     s = shingle_set(words.of(words_of(t, True)), k)
-                    if not len(s) or (key := set_key(s)) in seen:
+                    if not len(s):
+                        yield int(mix(np.array([0 if i is None else i], np.int64).view(U))[0] % U(buckets)), 3, None, None, None, i, 0, None, None
+                        continue
+                    key = set_key(s)
+                    yield int.from_bytes(key[:8], "big") % buckets, 3, None, None, None, i, len(s), key, sketch(s)
+                    if key in seen:
                         continue
                     seen.add(key)
                     keys.append(signer.of(s))
@@ -211,15 +220,21 @@ def signature_runs(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
             if keys:
                 yield from flush(keys, ids)
 
-        yield from batches(rows(), _RUNS, 64)
+        yield from batches(rows(), _RUNS, 512)
 
     return docs.mapInArrow(make, _RUNS_SQL)
 
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One hash range: (gid, id) of the signatures that several ids share, one group for all signatures of the same ids."""
+    """One hash range: the sets as they came (without gid), and (gid, id) of the signatures that several ids share, one
+    group for all signatures of the same ids."""
     f, d, flag = [], [], []
     for b in it:
+        is_set = pc.equal(b.column(1), 3)
+        said = b.filter(is_set)
+        if said.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(said.num_rows, pa.int64()), *said.columns[5:]], schema=_FOUND)
+        b = b.filter(pc.invert(is_set))
         for kind, fb, db, ids in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
             fs = unpack_sorted(fb)
             who = unpack_signed(ids)
@@ -256,92 +271,270 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["gid", "id"])
+    none = [pa.nulls(len(a), t) for t in _FOUND.types[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], schema=_FOUND)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the ascending y are in the ascending x."""
+    return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y if len(x) else np.zeros(len(y), bool)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    inter = int(_shared(x, y).sum())
+    return den * inter >= num * (len(x) + len(y) - inter)
+
+
+def _consensus(sets: list[np.ndarray]) -> np.ndarray:
+    features, n = np.unique(np.concatenate(sets), return_counts=True)
+    return features[2 * n > len(sets)]
+
+
+def _keys(y: np.ndarray, inside: np.ndarray, most: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
+    """What y shares with a partner to which it is linked, but not through the hub; inside: which of y are in most."""
+    need = -(((num + den) * int(inside.sum()) - num * (least + len(y))) // (num + den))
+    own = y[~inside]
+    if need > 0:
+        return own[: max(0, len(own) - need + 1)]
+    return np.concatenate((own, mix(most[~_shared(y, most)] + U(0x1AC))))
+
+
+def settle(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join whatever links of these sets join; a set is given by its ascending features."""
+    label, out, seen, todo = list(range(len(sets))), [], set(), [tuple(range(len(sets)))]
+
+    def find(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    def meet(i: int, j: int) -> None:
+        if find(i) != find(j) and _linked(sets[i], sets[j], num, den):
+            label[find(j)] = find(i)
+            out.append((i, j))
+
+    while todo:
+        group = todo.pop()
+        if len({find(i) for i in group}) < 2:
+            continue
+        if len(group) == 2:
+            meet(*group)
+            continue
+        most = _consensus([sets[i] for i in group])
+        inside = {i: _shared(most, sets[i]) for i in group}
+        hub = max(group, key=lambda i: ((num + den) * int(inside[i].sum()) - num * len(sets[i]), -i))
+        for i in group:
+            meet(hub, i)
+        if len({find(i) for i in group}) < 2:
+            continue
+        least, by_key = min(len(sets[i]) for i in group), {}
+        for i in group:
+            if i != hub:
+                for key in _keys(sets[i], inside[i], most, least, num, den).tolist():
+                    by_key.setdefault(key, []).append(i)
+        new = {tuple(g) for g in by_key.values() if len(g) > 1} - seen
+        seen |= new
+        todo.extend(new)
+    return out
+
+
+def _by_group(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[np.ndarray]]]:
+    """(gid, nodes, sets) of rows (gid, node, set) that come ordered by gid."""
+    gid, nodes, sets = None, [], []
+    for batch in it:
+        for g, node, features in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if g != gid and nodes:
+                yield gid, nodes, sets
+                nodes, sets = [], []
+            gid = g
+            nodes.append(node)
+            sets.append(np.frombuffer(features, U))
+    if nodes:
+        yield gid, nodes, sets
+
+
+_SETTLED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("gid", pa.int64()), ("part", pa.int32()), ("node", pa.binary()), ("n", pa.int64()), ("least", pa.int64()), ("features", pa.binary())])
+_SETTLED_SQL = "a binary, b binary, gid long, part int, node binary, n long, least long, features binary"
+
+
+def _settle_groups(num: int, den: int):
+    """Of rows (c, gid, part, node, n, least, set) that come ordered by gid: links (a, b) of the groups of one part, and
+    the rows of larger groups as they are."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, nodes, sets = None, [], []
+
+        def found() -> Iterator[tuple]:
+            for i, j in settle(sets, num, den) if nodes else ():
+                yield nodes[i], nodes[j], *[None] * 6
+
+        for b in it:
+            one = pc.equal(b.column(0), 1)
+            large = b.filter(pc.invert(one))
+            if large.num_rows:
+                none = [pa.nulls(large.num_rows, pa.binary())] * 2
+                yield pa.RecordBatch.from_arrays([*none, *(c.cast(t) for c, t in zip(large.columns[1:], _SETTLED.types[2:], strict=True))], schema=_SETTLED)
+            b = b.filter(one)
+            for g, node, features in zip(*(b.column(i).to_pylist() for i in (1, 3, 6)), strict=True):
+                if g != gid:
+                    yield from batches(found(), _SETTLED, 5000)
+                    nodes, sets = [], []
+                gid = g
+                nodes.append(node)
+                sets.append(np.frombuffer(features, U))
+        yield from batches(found(), _SETTLED, 5000)
+
+    return run
+
+
+def _vote():
+    """The consensus of each group of voters."""
+    schema = pa.schema([("gid", pa.int64()), ("most", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((gid, _consensus(sets).tobytes()) for gid, _, sets in _by_group(it)), schema, 100)
+
+    return run
 
 
-def _verify(num: int, den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _score(num: int, den: int):
+    """Of rows (gid, node, set, least, consensus): the node's claim to be the hub, and its keys."""
+    schema = pa.schema([("gid", pa.int64()), ("node", pa.binary()), ("score", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            last, x = None, np.zeros(0, U)
             for batch in it:
-                for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if a != last:
-                        last, x = a, np.frombuffer(sa, U)
-                    y = np.frombuffer(sb, U)
-                    both = np.sort(np.concatenate((x, y)), kind="stable")
-                    inter = int((both[1:] == both[:-1]).sum())
-                    if den * inter >= num * (len(both) - inter):
-                        yield a, b
+                for gid, node, features, least, consensus in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    x, most = np.frombuffer(features, U), np.frombuffer(consensus, U)
+                    inside = _shared(most, x)
+                    score = (num + den) * int(inside.sum()) - num * len(x)
+                    yield gid, node, score, _keys(x, inside, most, least, num, den).view(np.int64)
 
-        yield from batches(rows(), schema, 5000)
+        yield from batches(rows(), schema, 500)
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, on their whole sets."""
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("features").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("features").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long")
+def _compare(num: int, den: int):
+    """Of rows (gid, node, set, hub, hub's set): whether they are linked."""
+    schema = pa.schema([("gid", pa.int64()), ("node", pa.binary()), ("a", pa.binary()), ("linked", pa.bool_())])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in it:
+                for gid, node, features, a, sa in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield gid, node, a, _linked(np.frombuffer(sa, U), np.frombuffer(features, U), num, den)
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: sets link when den * |A and B| >= num * |A or B|; component_id is the
-    smallest id reachable by links."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    rows = pick(docs, id_col, text_col).toDF("id", "text")
-    known = materialize(shingle_table(rows, k), "sets")
-    nodes = known.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+        yield from batches(rows(), schema, 5000)
+
+    return run
 
-    runs = signature_runs(rows, k, num, den, buckets).repartitionById(buckets, F.col("bucket"))
-    groups = materialize(runs.mapInArrow(_groups, "gid long, id long"), "groups")
-    ids = known.where("node is not null").select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "node").distinct()
-    members = materialize(groups.join(ids, "id").select("gid", "node").distinct(), "members")
 
-    # The whole sets of the candidates, from their texts.
-    wanted = members.select("node").distinct().join(nodes, "node").select(F.coalesce("id", F.lit(NULL_ID)).alias("key"), "node")
-    schema = pa.schema([("node", pa.int64()), ("features", pa.binary())])
+def _features(k: int):
+    """The whole sets of rows (node, text) whose text still has the set of that node."""
+    schema = pa.schema([("node", pa.binary()), ("features", pa.binary())])
 
-    def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = WordIds(), set()
 
         def out() -> Iterator[tuple]:
             for b in it:
                 for node, t in zip(b.column(0).to_pylist(), binary(b.column(1)), strict=True):
                     s = shingle_set(words.of(words_of(t, True)), k)
-                    if len(s) and set_key(s) == node:
+                    if len(s) and node not in seen and set_key(s) == node:
+                        seen.add(node)
                         yield node, s.tobytes()
 
         yield from batches(out(), schema, 500)
 
-    texts = rows.join(wanted, F.coalesce(rows["id"], F.lit(NULL_ID)) == wanted["key"]).select("node", "text")
-    sets = materialize(texts.mapInArrow(features, "node long, features binary").dropDuplicates(["node"]), "features")
+    return run
+
 
-    # All of a group against its least node; then what the links found have not joined.
-    sketches = known.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    sketches = materialize(sketches.join(members.select("node").distinct(), "node"), "sketches")
+def _first_groups(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, node) of groups that hold those of members(gid, node): all with the same most central member are one. A pair
+    alone in its group goes if the sketches rule it out."""
+    sized = members.join(members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1"), "gid")
+    sized = materialize(sized.join(sized.groupBy("node").agg(F.sum("m").alias("degree")), "node"), "degrees")
+    hubs = sized.groupBy("gid").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    star = sized.join(hubs.select("gid", F.col("hub.node").alias("a")), "gid").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     ka = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka"), F.col("n").alias("na"))
     kb = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"), F.col("n").alias("nb"))
-    hub = members.groupBy("gid").agg(F.min("node").alias("a"))
-    star = members.select("gid", F.col("node").alias("b")).join(hub, "gid").where("a <> b").select("a", "b").distinct()
-    star = star.join(kb, "b").join(ka, "a").where(_plausible(num, den)).select("a", "b")
-    links = materialize(_links(materialize(star, "star"), sets, num, den), "links")
-    first = connected_components(links)
-    labelled = members.join(first, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("label"))
-    open_ids = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-    rest = labelled.join(open_ids, "gid").join(sketches, "node")
-    a = rest.select("gid", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
-    b = rest.select("gid", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sketch").alias("kb"))
-    cross = a.join(b, (a["gid"] == b["gid"]) & F.expr("la < lb") & F.expr(_plausible(num, den)))
-    cross = materialize(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
-    more = materialize(_links(cross, sets, num, den), "more")
-    found = connected_components(links.unionByName(more)) if more.limit(1).count() else first
-
-    least = nodes.join(found, "node").groupBy("component").agg(F.min("id").alias("least"))
-    joined = found.join(least, "component").select("node", "least")
-    per_node = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "id").alias("component_id"))
-    out = known.join(per_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    alone = star.groupBy("a").agg((F.count("*") == 1).alias("alone"))
+    star = materialize(star.join(alone, "a").join(kb, "b").join(ka, "a").where(~F.col("alone") | F.expr(_plausible(num, den))).select("a", "b"), "star")
+    return star.select(F.xxhash64("a").alias("gid"), F.col("b").alias("node")).unionByName(star.select(F.xxhash64("a").alias("gid"), F.col("a").alias("node")).distinct())
+
+
+def _round(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Links (a, b) of the groups in members(gid, node, n), and the groups and their sets(node, features) for the next
+    round, if any. The sets cross the network once to their groups; only those of large groups are written."""
+    sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("c"), F.min("n").alias("least"))
+    dealt = members.join(sizes, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    both = dealt.join(sets, "node").select("c", "gid", "part", "node", "n", "least", "features")
+    both = both.repartition("gid", "part").sortWithinPartitions("gid", "part")
+    settled = materialize(both.mapInArrow(_settle_groups(num, den), _SETTLED_SQL), "settled")
+    links = settled.where("a is not null").select("a", "b")
+    large = settled.where("a is null").select("gid", "part", "node", "n", "least", "features")
+    if large.isEmpty():
+        return links, None, None
+    # What all members of a large group meet is dealt out in copies, so that no group is one task's burden.
+    copies = large.select("gid", "part", "least").distinct()
+    voters = large.where("part = 0").select("gid", "node", "features").repartition("gid").sortWithinPartitions("gid")
+    voted = materialize(voters.mapInArrow(_vote(), "gid long, most binary"), "voted")
+    met = large.join(voted.join(copies.select("gid", "part"), "gid"), ["gid", "part"]).select("gid", "node", "features", "least", "most")
+    scored = materialize(met.mapInArrow(_score(num, den), "gid long, node binary, score long, keys array<long>"), "scored")
+    hubs = scored.groupBy("gid").agg(F.max(F.struct("score", "node")).alias("hub")).select("gid", F.col("hub.node").alias("a"))
+    own = large.select("gid", F.col("node").alias("a"), F.col("features").alias("sa"))
+    hubs = hubs.join(own, ["gid", "a"]).join(copies.select("gid", "part"), "gid")
+    star = large.join(hubs, ["gid", "part"]).where("a <> node").select("gid", "node", "features", "a", "sa")
+    compared = materialize(star.mapInArrow(_compare(num, den), "gid long, node binary, a binary, linked boolean"), "compared")
+    keyed = scored.join(compared, ["gid", "node"]).select("gid", F.explode("keys").alias("key"), "node", "linked")
+    keyed = keyed.select(F.xxhash64("gid", "key").alias("gid"), "node", "linked")
+    held = keyed.groupBy("gid").agg(
+        F.count("*").alias("m"), F.min("linked").alias("joined"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"),
+    )
+    one = held.where("m > 1 and not joined").groupBy("m", "s1", "s2").agg(F.min("gid").alias("gid")).select("gid")
+    later = keyed.join(one, "gid").select("gid", "node").join(large.select("node", "n").distinct(), "node").select("gid", "node", "n")
+    kept = large.select("node", "features").dropDuplicates(["node"])
+    return links.unionByName(compared.where("linked").select("a", F.col("node").alias("b"))), materialize(later, "members"), kept
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: sets link when den * |A and B| >= num * |A or B|; component_id is the
+    smallest id reachable by links. The result is written; what was written on the way is gone."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        buckets = partitions(spark)
+        rows = pick(docs, id_col, text_col).toDF("id", "text")
+        runs = signature_runs(rows, k, num, den, buckets).repartitionById(buckets, F.col("bucket"))
+        found = materialize(runs.mapInArrow(_groups, _FOUND_SQL), "groups")
+        release(spark)
+        known = found.where("gid is null").drop("gid")
+        nodes = known.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+        ids = known.where("node is not null").select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "node").distinct()
+        members = materialize(found.where("gid is not null").select("gid", "id").join(ids, "id").select("gid", "node").distinct(), "members")
+
+        sketches = known.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+        sketches = materialize(sketches.join(members.select("node").distinct(), "node"), "sketches")
+        members = materialize(_first_groups(members, sketches, num, den).join(sketches.select("node", "n"), "node").select("gid", "node", "n"), "members")
+
+        # The whole sets of the candidates, from their texts.
+        wanted = members.select("node").distinct().join(nodes, "node").select(F.coalesce("id", F.lit(NULL_ID)).alias("key"), "node")
+        texts = rows.join(wanted, F.coalesce(rows["id"], F.lit(NULL_ID)) == wanted["key"]).select("node", "text")
+        sets = materialize(texts.mapInArrow(_features(k), "node binary, features binary"), "features")
+        release(spark)
+        if not sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # rows that share id and text
+            sets = sets.dropDuplicates(["node"])
+
+        links = None
+        while members is not None:
+            more, members, sets = _round(members, sets, num, den)
+            links = more if links is None else links.unionByName(more)
+        found = connected_components(links)
+
+        least = nodes.join(found, "node").groupBy("component").agg(F.min("id").alias("least"))
+        joined = found.join(least, "component").select("node", "least")
+        per_node = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "id").alias("component_id"))
+        out = known.join(per_node, "node", "left")
+        return materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "components", keep=True)
