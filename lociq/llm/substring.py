@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.text import U, WordIds, batches, binary, mix, pack, pack_signed, pack_sorted, slices, unpack, unpack_signed, unpack_sorted, windows, words_of
-from lociq.session import materialize, new_path, partitions, pick
+from lociq.session import materialize, new_path, partitions, pick, release, scratch
 
 #: Windows of a run; bounds a task's memory whatever it reads.
-RUN = 1_500_000
+RUN = 750_000
 NULL_ID = -(1 << 63)
 #: Run of the entries that come from the index: they are never answered. In a stored index it is less by the seed.
 HISTORY = -1
@@ -293,26 +293,28 @@ def dedup(
         if len(stored) > 1:
             raise ValueError("the runs of the index have different fingerprints")
         seeds = stored or seeds
-    for seed in seeds:
-        found, compacted = find_repeats(rows, size, index, index_path is not None, seed)
-        found = materialize(found, "repeats")
-        p = found.select("id", F.explode("passages").alias("s")).select("id", "s.*").where("not old").drop("old")  # the words of history are not at hand
-        spans = p.select("id", "from", "words").unionByName(p.select(F.col("source").alias("id"), F.col("at").alias("from"), "words")).distinct()
-        asked = spans.groupBy("id").agg(F.collect_list(F.struct("from", "words")).alias("spans"))
-        cuts = found.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-        todo = cuts.join(asked, "id", "full").withColumnRenamed("id", "key")
-        joined = wide.join(todo, F.coalesce("id", F.lit(NULL_ID)) == F.col("key"), "left").select("id", "text", "starts", "ends", "spans", *names)
-        applied = joined.mapInArrow(
-            lambda it: _apply(it, _APPLIED),
-            "id long, kept binary, n_words long, n_removed long, kept_sha256 string, checks array<struct<from:long,words:long,hash:binary>>" + types,
-        )
-        applied = materialize(applied if with_text else applied.withColumn("kept", F.lit(None).cast("binary")), "kept")
-        if not verify or not _mismatches(applied, p):
-            break
-    else:
-        raise ArithmeticError("fingerprints collide under every seed" if index is None else "fingerprints collide under the seed of the index")
-    if index_path is not None:
-        compacted.write.parquet(index_path)
+    with scratch(spark):
+        for seed in seeds:
+            found, compacted = find_repeats(rows, size, index, index_path is not None, seed)
+            found = materialize(found, "repeats")
+            release(spark)
+            p = found.select("id", F.explode("passages").alias("s")).select("id", "s.*").where("not old").drop("old")  # the words of history are not at hand
+            spans = p.select("id", "from", "words").unionByName(p.select(F.col("source").alias("id"), F.col("at").alias("from"), "words")).distinct()
+            asked = spans.groupBy("id").agg(F.collect_list(F.struct("from", "words")).alias("spans"))
+            cuts = found.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+            todo = cuts.join(asked, "id", "full").withColumnRenamed("id", "key")
+            joined = wide.join(todo, F.coalesce("id", F.lit(NULL_ID)) == F.col("key"), "left").select("id", "text", "starts", "ends", "spans", *names)
+            applied = joined.mapInArrow(
+                lambda it: _apply(it, _APPLIED),
+                "id long, kept binary, n_words long, n_removed long, kept_sha256 string, checks array<struct<from:long,words:long,hash:binary>>" + types,
+            )
+            applied = materialize(applied if with_text else applied.withColumn("kept", F.lit(None).cast("binary")), "kept", keep=True)
+            if not verify or not _mismatches(applied, p):
+                break
+        else:
+            raise ArithmeticError("fingerprints collide under every seed" if index is None else "fingerprints collide under the seed of the index")
+        if index_path is not None:
+            compacted.write.parquet(index_path)
     kept = [F.decode("kept", "UTF-8").alias("kept")] if with_text else []
     return applied.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *kept, *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)])
 

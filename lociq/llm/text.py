@@ -23,7 +23,7 @@ def words_of(text: bytes | None, lower: bool) -> list[bytes]:
 class WordIds(dict):
     """64-bit ids of words, kept for as long as they fit; ids do not depend on what is kept."""
 
-    def __init__(self, seed: int = 0, keep: int = 400_000):
+    def __init__(self, seed: int = 0, keep: int = 150_000):
         super().__init__()
         self.seed, self.keep = seed, keep
 
