@@ -61,6 +61,8 @@ NULL_ID = -(1 << 63)
 
 #: Members of a group that one task settles, and that one copy of a larger group's consensus serves.
 SHARE = 128
+#: Slices in which the groups of the first round are settled one after the other: as little of their sets is on disk at once.
+SLICES = 4
 
 _RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("f", pa.binary()), ("d", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 _RUNS_SQL = "bucket int, kind byte, f binary, d binary, ids binary, id long, n long, node binary, sketch array<long>"
@@ -465,14 +467,19 @@ def _first_groups(members: DataFrame, sketches: DataFrame, num: int, den: int) -
     return star.select(F.xxhash64("a").alias("gid"), F.col("b").alias("node")).unionByName(star.select(F.xxhash64("a").alias("gid"), F.col("a").alias("node")).distinct())
 
 
-def _round(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def _round(members: DataFrame, sets: DataFrame, num: int, den: int, slices: int = 1) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Links (a, b) of the groups in members(gid, node, n), and the groups and their sets(node, features) for the next
     round, if any. The sets cross the network once to their groups; only those of large groups are written."""
     sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("c"), F.min("n").alias("least"))
-    dealt = members.join(sizes, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    both = dealt.join(sets, "node").select("c", "gid", "part", "node", "n", "least", "features")
-    both = both.repartition("gid", "part").sortWithinPartitions("gid", "part")
-    settled = materialize(both.mapInArrow(_settle_groups(num, den), _SETTLED_SQL), "settled")
+    dealt = materialize(members.join(sizes, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")), "dealt")
+    settled = None
+    for i in range(slices):
+        some = dealt.where(F.pmod(F.xxhash64("gid"), F.lit(slices)) == i)
+        both = some.join(sets, "node").select("c", "gid", "part", "node", "n", "least", "features")
+        both = both.repartition("gid", "part").sortWithinPartitions("gid", "part")
+        one = materialize(both.mapInArrow(_settle_groups(num, den), _SETTLED_SQL), "settled")
+        settled = one if settled is None else settled.unionByName(one)
+        release(members.sparkSession)
     links = settled.where("a is not null").select("a", "b")
     large = settled.where("a is null").select("gid", "part", "node", "n", "least", "features")
     if large.isEmpty():
@@ -527,10 +534,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if not sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # rows that share id and text
             sets = sets.dropDuplicates(["node"])
 
-        links = None
+        links, members, sets = _round(members, sets, num, den, SLICES)
         while members is not None:
             more, members, sets = _round(members, sets, num, den)
-            links = more if links is None else links.unionByName(more)
+            links = links.unionByName(more)
         found = connected_components(links)
 
         least = nodes.join(found, "node").groupBy("component").agg(F.min("id").alias("least"))
