@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe, html, language, mixing, mtree, near, ngram_lm, quality, repair, substring, warc
+from lociq.llm import bpe, html, language, mixing, mtree, near, ngram_lm, quality, repair, substring, trie, warc
 from lociq.session import pick, table
 
 
@@ -61,6 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_class_lm": op9_class_lm,
     "op10_language_id": op10_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_repair": op13_repair,
 }
 
@@ -93,4 +98,4 @@ SELECT page_id, payload_bytes, translate({_DIGITS}, '0123456789ABCDEFGHIJKLMNOPQ
 FROM u"""
 
 #: DuckDB twins; the other queries are tested against brute force in tests/llm.
-ORACLES = {"op3_warc": WARC_ORACLE, "op5_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE, "op13_repair": repair.ORACLE}
+ORACLES = {"op3_warc": WARC_ORACLE, "op5_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE, "op12_prefix_trie": trie.ORACLE.replace("CRC", repair.CRC32.format("conv_id::VARCHAR")), "op13_repair": repair.ORACLE}
