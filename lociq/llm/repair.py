@@ -37,6 +37,9 @@ START, ACCEPTED = "Open", ("Open", "Full")
 PRODUCTIONS = (("Sys", "Open", "s"), ("Half", "Open", "u"), ("Half", "Sys", "u"), ("Half", "Full", "u"), ("Full", "Half", "a"))
 ROLES = {"u": "user", "a": "assistant"}
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
+#: An item that costs more than the cheapest by more than this is beaten whatever follows: the cheapest can delete a system
+#: turn that the other keeps (4) and insert a turn to wait for the same one (3), or insert a first pair (6).
+BEATEN = DELETE + 2 * INSERT
 FAULTS = 20
 SPACE = " \\t\\n\\u000B\\f\\r"
 
@@ -90,6 +93,7 @@ class Chart:
                     if left == at and terminal in ROLES:
                         offer(lhs, spent + REROLE + TRUNCATED * cut, rank, edits + "R", symbol)
         least = min(x[0] for x in best.values())
+        best = {s: x for s, x in best.items() if x[0] <= least + BEATEN}
         order = {s: i for i, s in enumerate(sorted(best, key=lambda s: best[s][1:3]))}
         out = tuple((s, best[s][0] - least, order[s]) for s in sorted(best)), least, {s: (best[s][3], best[s][2]) for s in best}
         self.steps[column, row] = out
