@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe, html, language, mixing, mtree, near, ngram_lm, quality, repair, substring, trie, warc
+from lociq.llm import bpe, html, language, mixing, mtree, near, ngram_lm, quality, randomness, repair, substring, trie, warc
 from lociq.session import pick, table
 
 
@@ -61,6 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.find(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_class_lm": op9_class_lm,
     "op10_language_id": op10_language_id,
+    "op11_secrets": op11_secrets,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_repair": op13_repair,
 }
