@@ -2,11 +2,12 @@
 
 import heapq
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lociq.llm import mixing, substring
+from lociq.llm import mixing, quality, substring
 
 
 def earliest_deadline_first(shares):
@@ -95,3 +96,17 @@ def test_substring_verifies_the_batch_beside_an_index(spark, monkeypatch):
     monkeypatch.setattr(substring, "_mismatches", lambda *a: 1)
     with pytest.raises(ArithmeticError):
         substring.dedup(more, size=5, index=index)
+
+
+def test_verdicts_can_be_filtered(spark):
+    """A filter stays above what the verdict is computed from: the plan grows by it, and does not multiply."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    every, kept = quality.assess(docs), quality.assess(docs).where("kept").select("doc_id")
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (every, kept)]
+    assert [p.count("xxhash64") for p in plans] == [2, 2]
+    begun = time.time()
+    ids = {r.doc_id for r in every.collect() if r.kept}
+    first = time.time() - begun
+    begun = time.time()
+    assert {r.doc_id for r in kept.collect()} == ids and ids
+    assert time.time() - begun < 2 * first + 5
