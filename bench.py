@@ -9,7 +9,7 @@ import os
 import time
 
 from lociq import atlas
-from lociq.plans import annotations, catalogue, formats, reading, selections, strings, trees, views  # noqa: F401 (each registers its queries)
+from lociq.plans import annotations, catalogue, formats, reading, selections, sites, strings, trees, views  # noqa: F401 (each registers its queries)
 from lociq.session import session
 
 
