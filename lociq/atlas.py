@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.plans import catalogue, reading, selections, trees, views
+from lociq.plans import catalogue, reading, selections, sites, trees, views
 from lociq.sources import projection
 
 
 def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Writes what is not written yet, in the order in which the tables need each other, and returns all tables."""
+    """Writes what is not there yet or no longer holds, in the order in which the tables need each other, and returns all tables."""
     made = {
         "contigs": projection.contigs, "steps": projection.steps, "reads": projection.reads, "leaf_rep": projection.leaves,
         "nodes": catalogue._boxes, "pairs": catalogue._pairs, "edges": catalogue._edges, "visits": catalogue._visits_by_hap, "reference": catalogue._reference,
         "tree": views.tree, "signed_edges": views.signed_edges, "edge_walks": views.edge_walks, "depths": views.depths,
         "read_parts": reading.parts, "dictionary": selections.dictionary, "contig_lists": selections.contig_lists, "masks": selections.masks,
-        "closure": trees.ancestors, "gene_hits": trees.gene_hits,
+        "closure": trees.ancestors, "gene_hits": trees.gene_hits, "alignments": reading.alignments, "inversions": selections.inversions, "support": views.support, "grids": sites.grids,
     }
     return {name: f(spark, sf_dir) for name, f in made.items()}

@@ -193,8 +193,11 @@ ref AS (SELECT layer, node, min(s) AS ref_bp, max(e) AS ref_bp_end, min(c0) AS r
 
 
 def _reference(spark, sf):
-    ref = P.contigs(spark, sf).where(F.col("sample") == REFERENCE).select("contig")
-    return stored(spark, sf, "reference", lambda: G.reference(P.steps(spark, sf).join(ref, "contig"), _rep(spark, sf)), by=("layer",), order=("ref_bp",))
+    def make() -> DataFrame:
+        ref = P.contigs(spark, sf).where(F.col("sample") == REFERENCE).select("contig")
+        return G.reference(P.steps(spark, sf).join(ref, "contig"), _rep(spark, sf))
+
+    return stored(spark, sf, "reference", make, by=("layer",), order=("ref_bp",), settings={"reference": REFERENCE})
 
 
 @query(f", {_REF} SELECT layer, node, ref_bp, ref_bp_end, ref_contig, ref_multi, 1 - ref_multi AS is_anchor, ref_strand FROM ref")

@@ -83,12 +83,17 @@ _HIT = """SELECT * FROM (SELECT '{0}' AS asked, aln, stage, n_segments, total, q
 WHERE stage IS NOT NULL) WHERE stage = best ORDER BY query_start, aln LIMIT 30)"""
 
 
+def alignments(spark: SparkSession, sf: str) -> DataFrame:
+    """(aln, n_segments, total, query_start), stored."""
+    make = lambda: parts(spark, sf).groupBy("aln").agg(F.count("*").alias("n_segments"), F.first("total").alias("total"), F.first("ps").alias("query_start"))
+    return stored(spark, sf, "alignments", make, order=("aln",))
+
+
 @query(f", {_PARTS} " + " UNION ALL ".join(_HIT.format(a) for a in _ASKED))
 def read_search(spark, sf):
     """Alignments by number, else by name, else by the beginning of a name; at most 30 each by where they start."""
     out = None
-    d = parts(spark, sf).groupBy("aln").agg(F.count("*").alias("n_segments"), F.first("total").alias("total"), F.first("ps").alias("query_start"))
-    d = stored(spark, sf, "alignments", lambda: d, order=("aln",))
+    d = alignments(spark, sf)
     for a in _ASKED:
         stage = F.when(F.col("aln").cast("string") == a, 0).when(F.concat(F.lit("r"), "aln") == a, 1).when(F.startswith(F.concat(F.lit("r"), "aln"), F.lit(a)), 2)
         hit = d.withColumn("stage", stage.cast("long")).where("stage is not null")

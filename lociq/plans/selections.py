@@ -75,7 +75,7 @@ def ribbon_edges(spark, sf):
     ids = dictionary(spark, sf).select("contig", "contig_id").where(A.in_ranges(F.col("contig_id"), ranges))
     walks = edge_walks(spark, sf).where("layer = 2").join(ids, "contig")
     kept = E.within(walks.groupBy("source", "target").agg(F.count_distinct("contig_id").alias("n_contigs")), ribbon(spark, sf, CONTIGS, 0.02))
-    inv = stored(spark, sf, "inversions", lambda: QUERIES["inversion_fraction"](spark, sf), by=("layer",), order=("node",))
+    inv = inversions(spark, sf)
     flag = inv.where("layer = 2 and inv >= 128").join(ids, "contig", "left_semi").select("node").distinct()
     end = lambda c: flag.select(F.col("node").alias(c), F.lit(1).alias(f"{c}_inv"))
     d = kept.join(end("source"), "source", "left").join(end("target"), "target", "left")
@@ -136,6 +136,11 @@ def mask_words(spark, sf):
     return masks(spark, sf).where("layer between 1 and 2")
 
 
+def inversions(spark: SparkSession, sf: str) -> DataFrame:
+    """Inverted share of each node and contig, stored."""
+    return stored(spark, sf, "inversions", lambda: QUERIES["inversion_fraction"](spark, sf), by=("layer",), order=("node",))
+
+
 def masks(spark: SparkSession, sf: str) -> DataFrame:
     def make() -> DataFrame:
         hid = dictionary(spark, sf).select("hap", F.col("hap_id").cast("long").alias("h")).distinct()
@@ -172,9 +177,12 @@ w AS (SELECT component, count(*) AS leaves, sum(bp)::BIGINT AS weight FROM lab J
 SELECT component, leaves, weight, (weight >= 60 OR row_number() OVER (ORDER BY weight DESC, component) = 1)::BIGINT AS major FROM w""")
 def component_classes(spark, sf):
     """Components of the repeated links by weight: those of 60 bases or more are major, and the heaviest always is."""
-    lab = connected_components(_pairs(spark, sf).where("n >= 2"))
-    w = lab.join(P.segments(spark, sf).select(F.col("seg_id").alias("node"), "bp"), "node").groupBy("component").agg(F.count("*").alias("leaves"), F.sum("bp").alias("weight"))
-    w = stored(spark, sf, "component_weights", lambda: w)
+
+    def make() -> DataFrame:
+        lab = connected_components(_pairs(spark, sf).where("n >= 2"))
+        return lab.join(P.segments(spark, sf).select(F.col("seg_id").alias("node"), "bp"), "node").groupBy("component").agg(F.count("*").alias("leaves"), F.sum("bp").alias("weight"))
+
+    w = stored(spark, sf, "component_weights", make)
     top = w.agg(F.max(F.struct("weight", (-F.col("component")).alias("c"))).alias("t"))  # one row
     d = w.crossJoin(F.broadcast(top))
     return d.select("component", "leaves", "weight", ((F.col("weight") >= 60) | (F.col("component") == -F.col("t.c"))).cast("long").alias("major"))

@@ -54,6 +54,12 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "tree", make, by=("layer",), order=("node",))
 
 
+def support(spark: SparkSession, sf: str) -> DataFrame:
+    """(a, b, support): the reads that take each link, stored."""
+    make = lambda: G.adjacency(P.reads(spark, sf).withColumnRenamed("aln", "contig")).withColumnRenamed("n", "support")
+    return stored(spark, sf, "support", make, order=("a", "b"))
+
+
 def depths(spark: SparkSession, sf: str) -> DataFrame:
     """(seg_id, depth, n_reads) of the reads, stored."""
     make = lambda: P.reads(spark, sf).groupBy("seg_id").agg(F.count("*").alias("depth"), F.count_distinct("aln").alias("n_reads"))
@@ -104,7 +110,7 @@ def viewport_edges_support(spark, sf):
     """Edges of the leaf layer that touch the rectangle, with the reads that take them and whether both ends are in it."""
     vis = _box(spark, sf, 3).select("node")
     near = E.touching(_edges(spark, sf).where("layer = 3").drop("layer"), vis)
-    sup = stored(spark, sf, "support", lambda: G.adjacency(P.reads(spark, sf).withColumnRenamed("aln", "contig")).withColumnRenamed("n", "support"), order=("a", "b"))
+    sup = support(spark, sf)
     na, nb = F.concat(F.lit("n"), "a"), F.concat(F.lit("n"), "b")
     sup = sup.select(F.least(na, nb).alias("source"), F.greatest(na, nb).alias("target"), "support")
     seen = lambda c: vis.select(F.col("node").alias(c), F.lit(1).alias(f"in_{c}"))

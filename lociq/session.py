@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,8 +108,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Told of every table that is read, so that what is built from it can be kept for as long as it holds.
+on_read: Callable[[SparkSession, str], None] | None = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip(os.sep)}/{name}.parquet")
+    path = f"{sf_dir.rstrip(os.sep)}/{name}.parquet"
+    if on_read is not None:
+        on_read(spark, path)
+    return spark.read.parquet(path)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
