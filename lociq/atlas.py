@@ -17,4 +17,5 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "read_parts": reading.parts, "dictionary": selections.dictionary, "contig_lists": selections.contig_lists, "masks": selections.masks,
         "closure": trees.ancestors, "gene_hits": trees.gene_hits, "alignments": reading.alignments, "inversions": selections.inversions, "support": views.support, "grids": sites.grids,
     }
-    return {name: f(spark, sf_dir) for name, f in made.items()}
+    tables = {name: f(spark, sf_dir) for name, f in made.items()}
+    return tables | dict(zip(("names", "name_lists", "name_sizes"), views.name_index(spark, sf_dir), strict=True))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +19,10 @@ def capped_counts(nodes: DataFrame, cap: int) -> DataFrame:
     return nodes.groupBy("layer").agg(F.count("*").alias("n")).select("layer", F.least("n", F.lit(cap)).cast("long").alias("n"), (F.col("n") >= cap).cast("long").alias("capped"))
 
 
-def search(nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """(node, layer, stage): the coarsest row of at most `limit` names, by the first stage that finds any: 0 equal,
-    1 prefix (unless the text holds one of * ? [ ]), 2 substring in any case."""
-    n = F.col("node")
-    prefix = F.lit(False) if set(text) & set("*?[]") else F.startswith(n, F.lit(text))
-    stage = F.when(n == text, 0).when(prefix, 1).when(F.contains(F.lower(n), F.lit(text.lower())), 2)
-    found = nodes.select("node", "layer", stage.alias("stage")).where("stage is not null").groupBy("node").agg(F.min("layer").alias("layer"), F.min("stage").alias("stage"))
-    best = found.agg(F.min("stage").alias("best"))
-    return found.join(F.broadcast(best), found["stage"] == best["best"]).select("node", "layer", F.col("stage").cast("long").alias("stage")).orderBy("node").limit(limit)  # one row broadcast
-
-
-def deepest(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+def deepest(nodes: DataFrame) -> DataFrame:
     """The deepest row of each name."""
     w = Window.partitionBy("node").orderBy(F.col("layer").desc())
-    return nodes.where(F.col("node").isin(*names)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return nodes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def goto(reference: DataFrame, contig: int, target: int) -> DataFrame:

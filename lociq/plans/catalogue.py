@@ -220,8 +220,13 @@ def goto_position(spark, sf):
 
 @query("SELECT node, min(layer) AS layer FROM rep WHERE contains(lower(node), 'standard') OR node = 'n17' OR starts_with(node, 'n12') GROUP BY 1")
 def search_names(spark, sf):
+    """Names that hold one text, equal another or begin with a third, from the index."""
+    from lociq.operators.names_index import containing
+    from lociq.plans.views import name_index
+
+    named, lists, sizes = name_index(spark, sf)
     n = F.col("node")
-    return _rep(spark, sf).select("node", "layer").where(F.lower(n).contains("standard") | (n == "n17") | n.startswith("n12")).groupBy("node").agg(F.min("layer").alias("layer"))
+    return named.where((n == "n17") | n.startswith("n12")).unionByName(containing(named, lists, sizes, "standard")).distinct()
 
 
 @query("SELECT seg_id, substring(seq50, 1, bp::INT) AS seq, reverse(translate(substring(seq50, 1, bp::INT), 'ACGT', 'TGCA')) AS revcomp FROM seg WHERE bp <= 20")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociq.operators import edges as E
 from lociq.operators import graph as G
 from lociq.operators import lookup as L
+from lociq.operators import names_index as N
 from lociq.plans.catalogue import _BOX, _REF, _box, _boxes, _edges, _nodes, _reference, _rep, _visits_by_hap, query
 from lociq.sources import projection as P
 from lociq.store import stored
@@ -60,6 +61,18 @@ def support(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "support", make, order=("a", "b"))
 
 
+def name_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names, lists by trigram and sizes of the lists, stored."""
+
+    def named() -> DataFrame:
+        return stored(spark, sf, "names", lambda: N.names(_rep(spark, sf).select("node", "layer")), order=("node",))
+
+    def lists() -> DataFrame:
+        return stored(spark, sf, "name_lists", lambda: N.postings(named()), by=("bucket",), order=("gram", "node"), settings={"buckets": N.BUCKETS})
+
+    return named(), lists(), stored(spark, sf, "name_sizes", lambda: N.frequencies(lists()), order=("gram",))
+
+
 def depths(spark: SparkSession, sf: str) -> DataFrame:
     """(seg_id, depth, n_reads) of the reads, stored."""
     make = lambda: P.reads(spark, sf).groupBy("seg_id").agg(F.count("*").alias("depth"), F.count_distinct("aln").alias("n_reads"))
@@ -162,10 +175,10 @@ _TEXTS = ("n17", "n19", "GBrand", "StAnDaRd", "Brand*", "nowhere")
 @query(" UNION ALL ".join("SELECT * FROM (" + _SEARCH.format(t, "false" if "*" in t else f"starts_with(node, '{t}')") + ")" for t in _TEXTS))
 def search_stages(spark, sf):
     """Equal names, else prefixes, else substrings, for texts that stop at each stage; at most 50 names each."""
-    names = tree(spark, sf).select("node", "layer")
+    index = name_index(spark, sf)
     out = None
     for t in _TEXTS:
-        d = L.search(names, t).select(F.lit(t).alias("asked"), "node", "layer", "stage")
+        d = N.search(*index, t).select(F.lit(t).alias("asked"), "node", "layer", "stage")
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -175,8 +188,8 @@ SELECT node, layer, kind, parent, leaves, bp FROM t JOIN geo USING (layer, node)
 def node_info(spark, sf):
     """The deepest row of each asked name: layer, kind, parent, leaves below and their bases."""
     t = tree(spark, sf)
-    asked = ["root", "n17", "n150", "GBrand#11", "nowhere", *[r["node"] for r in t.where("layer = 1").select("node").collect()]]  # names a user gives
-    return L.deepest(t, asked).join(_nodes(spark, sf).select("layer", "node", "leaves", "bp"), ["layer", "node"]).select("node", "layer", "kind", "parent", "leaves", "bp")
+    asked = t.where("layer = 1").select("node").union(spark.createDataFrame([(n,) for n in ("root", "n17", "n150", "GBrand#11", "nowhere")], "node string")).distinct()
+    return L.deepest(t.join(asked, "node", "left_semi")).join(_nodes(spark, sf).select("layer", "node", "leaves", "bp"), ["layer", "node"]).select("node", "layer", "kind", "parent", "leaves", "bp")
 
 
 @query(f"""SELECT g.node, substring(seq50, 1, least(seg.bp, 100000)::INT) AS bases FROM geo g JOIN seg ON seg.seg_id = substring(g.node, 2)::BIGINT WHERE {_BOX.replace("layer", "g.layer").format(3)} AND g.bp <= 20 ORDER BY seg.seg_id LIMIT 4000""")
