@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.plans import catalogue, reading, selections, sites, trees, views
+from lociq.plans import bubbles, catalogue, reading, selections, sites, trees, views
 from lociq.sources import projection
 
 
@@ -15,7 +15,7 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "nodes": catalogue._boxes, "pairs": catalogue._pairs, "edges": catalogue._edges, "visits": catalogue._visits_by_hap, "reference": catalogue._reference,
         "tree": views.tree, "signed_edges": views.signed_edges, "edge_walks": views.edge_walks, "depths": views.depths,
         "read_parts": reading.parts, "dictionary": selections.dictionary, "contig_lists": selections.contig_lists, "masks": selections.masks,
-        "closure": trees.ancestors, "gene_hits": trees.gene_hits, "alignments": reading.alignments, "inversions": selections.inversions, "support": views.support, "grids": sites.grids,
+        "closure": trees.ancestors, "gene_hits": trees.gene_hits, "alignments": reading.alignments, "inversions": selections.inversions, "support": views.support, "grids": sites.grids, "chains": bubbles.chained, "claims": lambda s, d: bubbles.owned(s, d)[0],
     }
     tables = {name: f(spark, sf_dir) for name, f in made.items()}
     return tables | dict(zip(("names", "name_lists", "name_sizes"), views.name_index(spark, sf_dir), strict=True))

@@ -14,3 +14,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def pytest_collection_modifyitems(items):
+    """The graph's own tests first: tests of an optional subpackage come last."""
+    items.sort(key=lambda i: Path(__file__).parent != i.path.parent)
