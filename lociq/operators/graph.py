@@ -66,8 +66,9 @@ def reference(steps: DataFrame, rep: DataFrame) -> DataFrame:
     return d.select("layer", "node", "ref_bp", "ref_bp_end", "ref_contig", multi.alias("ref_multi"), (1 - multi).alias("is_anchor"), (2 * F.col("fwd") >= F.col("bp_all")).cast("long").alias("ref_strand"))
 
 
-def flood(pairs: DataFrame, seed: int, hops: int) -> DataFrame:
-    """(seg_id, hop): least number of links from the seed, direction ignored; one join and one anti-join a hop."""
+def flood(pairs: DataFrame, seed: int, hops: int, most: int | None = None) -> DataFrame:
+    """(seg_id, hop): least number of links from the seed, direction ignored; one join and one anti-join a hop. With most,
+    no hop follows the one that has gone beyond that many segments."""
     both = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     spark = pairs.sparkSession
     seen = spark.createDataFrame([(seed, 0)], "seg_id long, hop long")
@@ -76,6 +77,8 @@ def flood(pairs: DataFrame, seed: int, hops: int) -> DataFrame:
         rim = rim.join(both, rim["seg_id"] == both["a"]).select(F.col("b").alias("seg_id")).distinct().join(seen.select("seg_id"), "seg_id", "left_anti").withColumn("hop", F.lit(h).cast("long"))
         rim = materialize(rim, "rim")
         seen = seen.unionByName(rim)
+        if most is not None and seen.count() > most:
+            break
     return seen
 
 

@@ -188,10 +188,10 @@ def component_classes(spark, sf):
     return d.select("component", "leaves", "weight", ((F.col("weight") >= 60) | (F.col("component") == -F.col("t.c"))).cast("long").alias("major"))
 
 
-@query("""SELECT alias, min(contig) AS name FROM (SELECT DISTINCT contig, contig % 4999 AS alias FROM ctg) GROUP BY 1 HAVING count(*) = 1""")
+@query("""SELECT alias, min(contig) AS name FROM (SELECT DISTINCT contig, (CASE WHEN contig % 3 = 0 THEN contig ELSE contig % 97 END) AS alias FROM ctg) GROUP BY 1 HAVING count(*) = 1""")
 def contig_aliases(spark, sf):
     """Short names of walks; a short name of several walks is dropped."""
-    return aliases(P.contigs(spark, sf), F.col("contig") % 4999)
+    return aliases(P.contigs(spark, sf), F.when(F.col("contig") % 3 == 0, F.col("contig")).otherwise(F.col("contig") % 97))
 
 
 @query(""", m AS (SELECT seg_id, hap, least(count(*), 255) AS cn FROM stp JOIN ctg USING (contig) GROUP BY 1, 2), d AS (SELECT seg_id, count(*) AS n FROM rds GROUP BY 1)
