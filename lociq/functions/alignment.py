@@ -1,19 +1,36 @@
-"""Difference strings (cs) and CIGARs as expressions: everything stays in generated code.
+"""Difference strings (cs) and CIGARs as columns: each string is parsed once, in one pass, over Arrow batches.
 
 A difference string is a run of operations: `:n` n equal bases, `*xy` reference x read y, `+seq` inserted, `-seq` deleted.
 An operation is a struct (kind, len, ref, alt, at): kind one of `:*+-`, len its length in bases, ref and alt its text,
-at its offset on the reference. All functions take and return columns; a null string gives null.
+at its offset on the reference. A parse is linear in the string; what is built from it stays in expressions. All functions
+take and return columns; a null string gives null.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bases and their complements, either case.
 BASES, COMPLEMENTS = "ACGTNacgtn", "TGCANtgcan"
-_CS = r"(:[0-9]+|[*][a-zA-Z]{2}|[+][a-zA-Z]+|-[a-zA-Z]+)"
-_CIGAR = r"([0-9]+[MIDNSHP=X])"
+_CS = re.compile(r":([0-9]+)|[*]([a-zA-Z])([a-zA-Z])|[+]([a-zA-Z]+)|-([a-zA-Z]+)")
+_CIGAR = re.compile(r"([0-9]+)([MIDNSHP=X])")
+#: CIGAR operation of each kind, and the operations that use up reference bases.
+KINDS = {":": "=", "*": "X", "+": "I", "-": "D"}
+ON_REFERENCE = frozenset("MDN=X")
+
+_OP = pa.struct([("kind", pa.string()), ("len", pa.int32()), ("ref", pa.string()), ("alt", pa.string()), ("at", pa.int32())])
+_SPAN = pa.struct([("op", pa.string()), ("len", pa.int32()), ("at", pa.int32())])
+
+
+def _listed(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -21,39 +38,76 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, BASES, COMPLEMENTS))
 
 
+def parse_cs(cs: str) -> Iterator[tuple[str, int, str, str, int]]:
+    """(kind, len, ref, alt, at) of the operations that are not empty."""
+    at = 0
+    for same, ref, alt, put, cut in _CS.findall(cs):
+        if same:
+            n = int(same)
+            if n:
+                yield ":", n, "", "", at
+        elif ref:
+            n = 1
+            yield "*", 1, ref, alt, at
+        elif put:
+            yield "+", len(put), "", put, at
+            n = 0
+        else:
+            n = len(cut)
+            yield "-", n, cut, "", at
+        at += n
+
+
+def parse_cigar(cigar: str) -> Iterator[tuple[str, int, int]]:
+    """(op, len, at) of the operations of a CIGAR."""
+    at = 0
+    for n, op in _CIGAR.findall(cigar):
+        yield op, int(n), at
+        at += int(n) if op in ON_REFERENCE else 0
+
+
+def _merged(cs: str) -> str | None:
+    """CIGAR of a difference string."""
+    runs = groupby(parse_cs(cs), key=lambda o: o[0])
+    return "".join(f"{sum(o[1] for o in run)}{KINDS[k]}" for k, run in runs) or None
+
+
+def _lists(column: pa.Array, parse, kind: pa.StructType) -> pa.Array:
+    """The parses of a column of strings as lists of structs."""
+    offsets, flat, valid = [0], [], []
+    for s in column.to_pylist():
+        valid.append(s is not None)
+        if s is not None:
+            flat.extend(parse(s))
+        offsets.append(len(flat))
+    fields = zip(*flat, strict=True) if flat else [()] * kind.num_fields
+    items = pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(fields, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array([not v for v in valid]))
+
+
+@F.arrow_udf(_listed(kind=T.StringType(), len=T.IntegerType(), ref=T.StringType(), alt=T.StringType(), at=T.IntegerType()))
+def _ops(cs: pa.Array) -> pa.Array:
+    return _lists(cs, parse_cs, _OP)
+
+
+@F.arrow_udf(_listed(op=T.StringType(), len=T.IntegerType(), at=T.IntegerType()))
+def _spans(cigar: pa.Array) -> pa.Array:
+    return _lists(cigar, parse_cigar, _SPAN)
+
+
+@F.arrow_udf(T.StringType())
+def _cigar(cs: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else _merged(s) for s in cs.to_pylist()], pa.string())
+
+
 def cs_ops(cs: Column) -> Column:
     """The operations of a difference string with their offsets on the reference."""
-    raw = F.transform(
-        F.regexp_extract_all(cs, F.lit(_CS), F.lit(1)),
-        lambda o: F.struct(
-            F.substring(o, 1, 1).alias("kind"),
-            F.when(F.substring(o, 1, 1) == ":", F.substr(o, F.lit(2)).cast("int")).when(F.substring(o, 1, 1) == "*", F.lit(1)).otherwise(F.length(o) - 1).alias("len"),
-            F.when(F.substring(o, 1, 1) == "*", F.substring(o, 2, 1)).when(F.substring(o, 1, 1) == "-", F.substr(o, F.lit(2))).otherwise(F.lit("")).alias("ref"),
-            F.when(F.substring(o, 1, 1) == "*", F.substring(o, 3, 1)).when(F.substring(o, 1, 1) == "+", F.substr(o, F.lit(2))).otherwise(F.lit("")).alias("alt"),
-        ),
-    )
-    span = lambda o: F.when(o["kind"] == "+", 0).otherwise(o["len"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,len:int,ref:string,alt:string,at:int>>").alias("ops"))
-    put = lambda acc, o: F.struct(
-        (acc["at"] + span(o)).alias("at"),
-        F.concat(acc["ops"], F.array(F.struct(o["kind"].alias("kind"), o["len"].alias("len"), o["ref"].alias("ref"), o["alt"].alias("alt"), acc["at"].alias("at")))).alias("ops"),
-    )
-    return F.aggregate(F.filter(raw, lambda o: o["len"] > 0), start, put, lambda acc: acc["ops"])
+    return _ops(cs)
 
 
 def cs_to_cigar(cs: Column) -> Column:
     """CIGAR of a difference string: = X I D, neighbours of one kind merged; null if there is no operation."""
-    kinds = F.transform(cs_ops(cs), lambda o: F.struct(F.translate(o["kind"], ":*+-", "=XID").alias("k"), o["len"].alias("n")))
-    merged = F.aggregate(
-        kinds,
-        F.array().cast("array<struct<k:string,n:int>>"),
-        lambda acc, o: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["k"] == o["k"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(o["k"].alias("k"), (F.get(acc, F.size(acc) - 1)["n"] + o["n"]).alias("n")))),
-        ).otherwise(F.concat(acc, F.array(o))),
-    )
-    text = F.array_join(F.transform(merged, lambda o: F.concat(o["n"].cast("string"), o["k"])), "")
-    return F.nullif(text, F.lit(""))
+    return _cigar(cs)
 
 
 def cs_has_difference(cs: Column) -> Column:
@@ -99,13 +153,7 @@ def cs_insertions(cs: Column) -> Column:
 
 def cigar_spans(cigar: Column) -> Column:
     """Array of (op, len, at): the operations of a CIGAR with their offsets on the reference."""
-    raw = F.transform(F.regexp_extract_all(cigar, F.lit(_CIGAR), F.lit(1)), lambda o: F.struct(F.right(o, F.lit(1)).alias("op"), F.substr(o, F.lit(1), F.length(o) - 1).cast("int").alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<op:string,len:int,at:int>>").alias("ops"))
-    put = lambda acc, o: F.struct(
-        (acc["at"] + F.when(o["op"].isin("M", "D", "N", "=", "X"), o["len"]).otherwise(0)).alias("at"),
-        F.concat(acc["ops"], F.array(F.struct(o["op"].alias("op"), o["len"].alias("len"), acc["at"].alias("at")))).alias("ops"),
-    )
-    return F.aggregate(raw, start, put, lambda acc: acc["ops"])
+    return _spans(cigar)
 
 
 def cigar_slice(cigar: Column, lo: Column, hi: Column, reverse: Column | None = None) -> Column:

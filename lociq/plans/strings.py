@@ -1,6 +1,4 @@
-"""Names, difference strings, CIGARs and scales over the projected tables, with their DuckDB twins.
-
-The twins of the string functions say by construction what the functions must find in the strings."""
+"""Names, difference strings, CIGARs and scales over the projected tables, with their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -15,33 +13,54 @@ from lociq.plans.catalogue import _nodes, _rep, _visits_by_hap, query
 from lociq.sources import projection as P
 
 
+#: What a step's string holds between its two runs of equal bases, and what it ends with.
+_MIDDLES, _ENDS = ("*ag*ct+gg-tt", "+a", "-acg", "*ga:3*tc+cgt"), ("", "*tg", "-c")
+
+
 def _differences(spark: SparkSession, sf: str) -> DataFrame:
-    """Steps with a difference string: a equal bases, two substitutions, two inserted, two deleted, b equal bases."""
+    """Steps with a difference string whose operations vary: runs of equal bases, at times empty, and other operations."""
     s = P.steps(spark, sf).withColumn("a", F.expr("pos % bp")).withColumn("b", F.expr("seg_id % 5"))
-    return s.withColumn("cs", F.concat(F.lit(":"), "a", F.lit("*ag*ct+gg-tt:"), "b"))
+    pick = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i + 1).cast("int"))
+    return s.withColumn("cs", F.concat(F.lit(":"), "a", pick(_MIDDLES, (F.col("seg_id") + F.col("pos")) % 4), F.lit(":"), "b", pick(_ENDS, F.col("contig") % 3)))
+
+
+#: The twin's parse of the same strings: one row an operation.
+_OPS = f"""txt AS (SELECT contig, pos, pos % bp AS a, ':' || (pos % bp) || {list(_MIDDLES)}[(seg_id + pos) % 4 + 1] || ':' || (seg_id % 5) || {list(_ENDS)}[contig % 3 + 1] AS cs FROM stp),
+raw AS (SELECT contig, pos, a, unnest(regexp_extract_all(cs, ':[0-9]+|[*][a-z][a-z]|[+][a-z]+|-[a-z]+')) AS o, generate_subscripts(regexp_extract_all(cs, ':[0-9]+|[*][a-z][a-z]|[+][a-z]+|-[a-z]+'), 1) AS i FROM txt),
+ops AS (SELECT *, left(o, 1) AS kind, CASE left(o, 1) WHEN ':' THEN substring(o, 2)::BIGINT WHEN '*' THEN 1 ELSE length(o) - 1 END AS n FROM raw),
+op AS (SELECT *, coalesce(sum(CASE kind WHEN '+' THEN 0 ELSE n END) OVER (PARTITION BY contig, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot, translate(kind, ':*+-', '=XID') AS c FROM ops WHERE n > 0),
+chg AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY contig, pos ORDER BY i) = c THEN 0 ELSE 1 END AS new FROM op),
+grp AS (SELECT *, sum(new) OVER (PARTITION BY contig, pos ORDER BY i) AS g FROM chg),
+cig AS (SELECT contig, pos, string_agg(n || c, '' ORDER BY g) AS cigar FROM (SELECT contig, pos, g, c, sum(n)::BIGINT AS n FROM grp GROUP BY ALL) GROUP BY 1, 2)"""
 
 
-@query("""SELECT contig, pos, (CASE WHEN pos % bp > 0 THEN (pos % bp) || '=' ELSE '' END) || '2X2I2D' || (CASE WHEN seg_id % 5 > 0 THEN (seg_id % 5) || '=' ELSE '' END) AS cigar,
-2::BIGINT AS n_sub, 'gg' AS inserted, (pos % bp)::BIGINT AS first_sub, 1::BIGINT AS differs FROM stp""")
+@query(f""", {_OPS} SELECT contig, pos, cigar, count(*) FILTER (kind = '*') AS n_sub, string_agg(CASE kind WHEN '+' THEN substring(o, 2) END, ',' ORDER BY i) AS inserted,
+min(spot) FILTER (kind = '*') AS first_sub, (count(*) FILTER (kind <> ':') > 0)::BIGINT AS differs FROM op JOIN cig USING (contig, pos) GROUP BY ALL""")
 def cs_merged_cigar(spark, sf):
     """Neighbouring operations of one kind become one; substitutions and insertions with their places."""
     d = _differences(spark, sf)
     subs, ins = C.cs_substitutions(F.col("cs")), C.cs_insertions(F.col("cs"))
-    return d.select("contig", "pos", C.cs_to_cigar(F.col("cs")).alias("cigar"), F.size(subs).cast("long").alias("n_sub"), F.get(ins, F.lit(0))["seq"].alias("inserted"), F.get(subs, F.lit(0))["at"].cast("long").alias("first_sub"), C.cs_has_difference(F.col("cs")).cast("long").alias("differs"))
+    inserted = F.nullif(F.array_join(F.transform(ins, lambda x: x["seq"]), ","), F.lit(""))
+    return d.select("contig", "pos", C.cs_to_cigar(F.col("cs")).alias("cigar"), F.size(subs).cast("long").alias("n_sub"), inserted.alias("inserted"), F.get(subs, F.lit(0))["at"].cast("long").alias("first_sub"), C.cs_has_difference(F.col("cs")).cast("long").alias("differs"))
 
 
-@query("""SELECT contig, pos, a + b AS matched, 2::BIGINT AS mismatched, 2::BIGINT AS inserted, 2::BIGINT AS deleted FROM (SELECT contig, pos, (pos % bp)::BIGINT AS a, (seg_id % 5)::BIGINT AS b FROM stp)""")
+@query(f""", {_OPS} SELECT contig, pos, coalesce(sum(n) FILTER (kind = ':'), 0)::BIGINT AS matched, coalesce(sum(n) FILTER (kind = '*'), 0)::BIGINT AS mismatched,
+coalesce(sum(n) FILTER (kind = '+'), 0)::BIGINT AS inserted, coalesce(sum(n) FILTER (kind = '-'), 0)::BIGINT AS deleted FROM op GROUP BY 1, 2""")
 def cigar_stats(spark, sf):
+    """Bases by kind of operation, from the CIGAR."""
     t = C.cigar_totals(C.cs_to_cigar(F.col("cs")))
     d = _differences(spark, sf).select("contig", "pos", t.alias("t"))
     return d.select("contig", "pos", F.col("t.match").cast("long").alias("matched"), F.col("t.mismatch").cast("long").alias("mismatched"), F.col("t.inserted").cast("long").alias("inserted"), F.col("t.deleted").cast("long").alias("deleted"))
 
 
-@query("""SELECT contig, pos, (CASE WHEN a > 1 THEN ':' || (a - 1) ELSE '' END) || (CASE WHEN a >= 1 THEN '*ag' ELSE '' END) || '*ct+gg-t' AS plus,
-'-a+cc*ga' || (CASE WHEN a >= 1 THEN '*tc' ELSE '' END) || (CASE WHEN a > 1 THEN ':' || (a - 1) ELSE '' END) AS minus,
-(CASE WHEN a > 1 THEN (a - 1) || '=' ELSE '' END) || (CASE WHEN a >= 1 THEN '2X' ELSE '1X' END) || '2I1D' AS cigar FROM (SELECT contig, pos, pos % bp AS a FROM stp)""")
+@query(f""", {_OPS}, cut AS (SELECT *, CASE WHEN kind IN (':', '-') THEN greatest(least(spot + n, a + 3) - greatest(spot, 1), 0) WHEN spot >= 1 AND spot < a + 3 THEN n ELSE 0 END AS m FROM op),
+txt2 AS (SELECT *, CASE kind WHEN ':' THEN '' WHEN '-' THEN substring(o, 2 + greatest(1 - spot, 0)::INT, m::INT) ELSE substring(o, 2) END AS s FROM cut WHERE m > 0),
+sg AS (SELECT *, sum(CASE WHEN l = c THEN 0 ELSE 1 END) OVER (PARTITION BY contig, pos ORDER BY i) AS g2 FROM (SELECT *, lag(c) OVER (PARTITION BY contig, pos ORDER BY i) AS l FROM txt2)),
+sc AS (SELECT contig, pos, string_agg(n2 || c, '' ORDER BY g2) AS cigar FROM (SELECT contig, pos, g2, c, sum(m)::BIGINT AS n2 FROM sg GROUP BY ALL) GROUP BY 1, 2)
+SELECT t.contig, t.pos, coalesce(plus, '') AS plus, coalesce(minus, '') AS minus, coalesce(cigar, '') AS cigar FROM txt t LEFT JOIN (SELECT contig, pos, string_agg(kind || CASE kind WHEN ':' THEN m::VARCHAR ELSE s END, '' ORDER BY i) AS plus,
+  string_agg(kind || CASE kind WHEN ':' THEN m::VARCHAR WHEN '*' THEN translate(s, 'acgt', 'tgca') ELSE reverse(translate(s, 'acgt', 'tgca')) END, '' ORDER BY i DESC) AS minus FROM txt2 GROUP BY 1, 2) x USING (contig, pos) LEFT JOIN sc USING (contig, pos)""")
 def cs_slices(spark, sf):
-    """The window from the second reference base to within the deletion, on either strand, and the same of the CIGAR."""
+    """The window from the second reference base to the third after the first run, on either strand, and the same of the CIGAR."""
     lo, hi = F.lit(1), (F.col("a") + 3).cast("int")
     d, cs = _differences(spark, sf), F.col("cs")
     return d.select("contig", "pos", C.cs_slice(cs, lo, hi, F.lit(False)).alias("plus"), C.cs_slice(cs, lo, hi, F.lit(True)).alias("minus"), C.cigar_slice(C.cs_to_cigar(cs), lo, hi).alias("cigar"))
