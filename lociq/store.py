@@ -5,6 +5,8 @@ was read while it was made, and the version of each stored table. It is taken as
 session finds what an earlier one has built, and a changed input rebuilds what depends on it and nothing else. What a
 maker reads is recorded while it runs, as a build tool's dependency files do; nobody has to list it.
 
+Other code is other settings: a new release of the library builds its own tables.
+
 A version is a folder of its own that never changes. The note is written after the writer has committed, and moved into
 place in one step: two sessions that build the same table both succeed, and the later note holds."""
 
@@ -15,6 +17,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -22,8 +25,17 @@ from pyspark.sql.types import StructType
 from lociq import session
 from lociq.session import scratch_dir
 
-#: Raise it when the layout or meaning of stored tables changes.
-FORMAT = 1
+
+
+def _code() -> str:
+    """A key of the library's own sources: tables that other code has made are not taken."""
+    top = Path(__file__).parent
+    files = sorted(p for p in top.rglob("*.py") if "llm" not in p.relative_to(top).parts)
+    return hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+
+
+#: Layout and meaning of stored tables.
+FORMAT = _code()
 
 #: Seconds for which what was seen of an input is believed: a query that opens many tables looks at each input once.
 RECHECK = 1.0
