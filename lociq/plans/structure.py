@@ -40,8 +40,19 @@ def side_votes(spark, sf):
 
 
 def settled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v = votes(spark, sf).where("same_votes <> other_votes").select("a", "b", (F.col("same_votes") > F.col("other_votes")).cast("long").alias("same"), F.abs(F.col("same_votes") - F.col("other_votes")).alias("strength"))
-    return signed.settle(v)
+    """Sides of bubbles, and votes with kept, stored."""
+
+    def run() -> tuple[DataFrame, DataFrame]:
+        v = votes(spark, sf).where("same_votes <> other_votes")
+        return signed.settle(v.select("a", "b", (F.col("same_votes") > F.col("other_votes")).cast("long").alias("same"), F.abs(F.col("same_votes") - F.col("other_votes")).alias("strength")))
+
+    def both() -> DataFrame:
+        node, kept = run()
+        none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+        return node.select("node", "component", "side", *none("a", "b", "same", "strength", "kept")).unionByName(kept.select(*none("node", "component", "side"), "a", "b", "same", "strength", "kept"))
+
+    d = stored(spark, sf, "settled", both, order=("node", "a", "b"))
+    return d.where("node is not null").select("node", "component", "side"), d.where("node is null").select("a", "b", "same", "strength", "kept")
 
 
 @query(None)

@@ -24,3 +24,27 @@ def test_equals_twin(spark, name):
     # Rows of one key that the order of steps cannot tell apart exist at this size: the multisets still agree.
     assert _sorted(df.select(*cols).collect()) == _sorted(twin)
     assert twin
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+def test_queries_without_twin_have_rows(spark, name):
+    """Their operators are held against plain procedures elsewhere; here they run over the tables."""
+    df = catalogue.QUERIES[name](spark, DATA)
+    n = df.count()
+    assert len(set(df.columns)) == len(df.columns)
+    if name == "bubble_claims":  # at this size the links are one dense piece, and every flood may leak
+        figures = catalogue.QUERIES["bubble_members"](spark, DATA).collect()
+        assert n == sum(r.members for r in figures) and (n or any(r.leaks for r in figures))
+    else:
+        assert n > 0
+
+
+def test_grid_rows_are_the_passages(spark):
+    """Every passage of a bubble that limits do not cut has its row, and rows of one allele have one sequence."""
+    passages = {tuple(r) for r in catalogue.QUERIES["site_passages"](spark, DATA).select("site", "contig", "passage").collect()}
+    rows = catalogue.QUERIES["allele_rows"](spark, DATA).collect()
+    assert {(r.site, r.contig, r.passage) for r in rows} == passages
+    assert len({(r.site, r.allele) for r in rows}) == len({(r.site, r.seq) for r in rows}) == len({(r.site, r.allele, r.seq) for r in rows})
+    widths = {r.site: len(r.seq) for r in rows}
+    columns = catalogue.QUERIES["allele_columns"](spark, DATA).groupBy("site").count().collect()
+    assert {r.site: r["count"] for r in columns} == {s: w for s, w in widths.items() if w}
