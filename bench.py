@@ -9,7 +9,7 @@ import os
 import time
 
 from lociq import atlas
-from lociq.plans import annotations, bubbles, catalogue, formats, reading, selections, sites, strings, structure, trees, views  # noqa: F401 (each registers its queries)
+from lociq.plans import annotations, bubbles, catalogue, formats, hierarchy, reading, selections, sites, strings, structure, trees, views  # noqa: F401 (each registers its queries)
 from lociq.session import session
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.plans import bubbles, catalogue, reading, selections, sites, structure, trees, views
+from lociq.plans import bubbles, catalogue, hierarchy, reading, selections, sites, structure, trees, views
 from lociq.sources import projection
 
 
@@ -17,6 +17,7 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "read_parts": reading.parts, "dictionary": selections.dictionary, "contig_lists": selections.contig_lists, "masks": selections.masks,
         "closure": trees.ancestors, "gene_hits": trees.gene_hits, "alignments": reading.alignments, "inversions": selections.inversions, "support": views.support, "grids": sites.grids, "chains": bubbles.chained, "claims": lambda s, d: bubbles.owned(s, d)[0],
         "votes": structure.votes, "settled": lambda s, d: structure.settled(s, d)[0], "pivots": structure.distances, "packed": structure.packed,
+        "tree_direct": lambda s, d: hierarchy.direct(s, d)[0], "tree_levels": hierarchy.levels, "tree_built": hierarchy.built,
     }
     tables = {name: f(spark, sf_dir) for name, f in made.items()}
     return tables | dict(zip(("names", "name_lists", "name_sizes"), views.name_index(spark, sf_dir), strict=True))

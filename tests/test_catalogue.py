@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lociq.plans import annotations, bubbles, catalogue, formats, reading, selections, sites, strings, structure, trees, views  # noqa: F401 (each registers its queries)
+from lociq.plans import annotations, bubbles, catalogue, formats, hierarchy, reading, selections, sites, strings, structure, trees, views  # noqa: F401 (each registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
