@@ -7,7 +7,8 @@ mixed texts are seen as such. The prediction is the language of most letters; it
 A text whose best single language cannot be beaten over any stretch by more than the penalty has one span; that is found
 by a running minimum, and only other texts need the full recursion. Both give the same labels.
 
-The model is fitted on about `per_lang` labelled documents of each language (a share by hashed id), whole texts, never on held-out ones; what is kept of them is a table of 65,536 hashed trigrams a language.
+The model is fitted on about `per_lang` labelled documents of each language (a share by hashed id), whole texts,
+never on held-out ones; what is kept of them is a table of 65,536 hashed trigrams a language.
 
 Defined results: null texts and texts without letters are `und` with score 0; a null id counts as an empty text of
 digits for the fold; without any labelled document everything is `und`; ties go to the alphabetically first language;
