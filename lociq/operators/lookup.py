@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.session import materialize
+from lociq.operators import places
 
 
 def capped(df: DataFrame, most: int, *order: str) -> DataFrame:
@@ -38,41 +38,16 @@ def goto(reference: DataFrame, contig: int, target: int) -> DataFrame:
     return d.agg(F.min(rank).alias("b")).where("b is not null").select(F.lit(target).cast("long").alias("target"), (-F.col("b.up")).alias("layer"), "b.node", "b.off")
 
 
-def nearest_by(points: DataFrame, marks: DataFrame, cell: float) -> DataFrame:
-    """points(id, x, y) with the nearest of marks(mark, mx, my), ties to the smaller mark: cells of this side, doubled
-    for the points whose nearest could lie beyond the cells looked at."""
-    todo, out = materialize(points.select("id", "x", "y"), "points"), None
-    marks = materialize(marks.select("mark", "mx", "my"), "marks")
-    if marks.isEmpty():
-        return todo.select("id", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.lit(None).cast("double").alias("dist"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    while not todo.isEmpty():
-        at = todo.withColumn("d", around).select("id", "x", "y", (F.floor(F.col("x") / cell) + F.col("d.dx")).alias("gx"), (F.floor(F.col("y") / cell) + F.col("d.dy")).alias("gy"))
-        held = marks.select("mark", "mx", "my", F.floor(F.col("mx") / cell).alias("gx"), F.floor(F.col("my") / cell).alias("gy"))
-        near = at.join(held, ["gx", "gy"]).groupBy("id").agg(F.min(F.struct(F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y")).alias("dist"), "mark")).alias("b"))
-        sure = materialize(near.where(F.col("b.dist") <= cell).select("id", "b.mark", "b.dist"), "nearest")
-        out = sure if out is None else out.unionByName(sure)
-        todo = materialize(todo.join(sure, "id", "left_anti"), "points")
-        cell *= 2
-    return out if out is not None else todo.select("id", F.lit(None).alias("mark"), F.lit(None).cast("double").alias("dist"))
+def nearest_by(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """points(id, x, y) with the nearest of marks(mark, mx, my) and its distance, ties to the smaller mark; null where there
+    is no mark, or the point has no place."""
+    best = places.nearest(points, marks.select("mark", F.col("mx").alias("x"), F.col("my").alias("y")))
+    return points.select("id", "x", "y").join(best.drop("rank"), ["x", "y"], "left").select("id", "mark", "dist")
 
 
-def kth_distance(points: DataFrame, k: int, cell: float) -> DataFrame:
-    """(id, dist): Chebyshev distance to the k-th nearest other point; exact. A point is done when k others lie within
-    one cell of it; the rest looks again with cells twice as wide. Points with fewer than k others have none."""
-    todo, out = materialize(points.select("id", "x", "y"), "points"), None
-    every, total = todo, todo.count()
-    if total <= k:
-        return todo.where("false").select("id", F.lit(0.0).alias("dist"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    while not todo.isEmpty():
-        at = todo.withColumn("d", around).select("id", "x", "y", (F.floor(F.col("x") / cell) + F.col("d.dx")).alias("gx"), (F.floor(F.col("y") / cell) + F.col("d.dy")).alias("gy"))
-        held = every.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
-        gap = F.greatest(F.abs(F.col("ox") - F.col("x")), F.abs(F.col("oy") - F.col("y")))
-        near = at.join(held, ["gx", "gy"]).where("id <> other").select("id", gap.alias("gap")).where(F.col("gap") <= cell)
-        kth = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("gap"))).where(F.col("r") == k).select("id", F.col("gap").alias("dist"))
-        sure = materialize(kth, "kth")
-        out = sure if out is None else out.unionByName(sure)
-        todo = materialize(todo.join(sure, "id", "left_anti"), "points")
-        cell *= 2
-    return out
+def kth_distance(points: DataFrame, k: int) -> DataFrame:
+    """(id, dist): Chebyshev distance of every point(id, x, y) to the k-th nearest other row; exact. Points with fewer than
+    k others have none."""
+    # Every point is its own nearest mark, at distance 0.
+    best = places.nearest(points, points.select(F.col("id").alias("mark"), "x", "y"), k + 1, "square").where(F.col("rank") == k + 1)
+    return points.select("id", "x", "y").join(best.select("x", "y", "dist"), ["x", "y"]).select("id", "dist")

@@ -257,14 +257,14 @@ def nearest_nodes(spark, sf):
     """The bubble whose centre lies nearest to each leaf."""
     pts = P.segments(spark, sf).select(F.col("name").alias("id"), "x", "y")
     marks = _nodes(spark, sf).where("layer = 2").select(F.col("node").alias("mark"), F.col("cx").alias("mx"), F.col("cy").alias("my"))
-    return L.nearest_by(pts, marks, 0.05).select("id", "mark")
+    return L.nearest_by(pts, marks).select("id", "mark")
 
 
 @query(f"""SELECT id, {_r6("gap")} AS dist FROM (SELECT p.seg_id AS id, greatest(abs(q.x - p.x), abs(q.y - p.y)) AS gap, row_number() OVER (PARTITION BY p.seg_id ORDER BY greatest(abs(q.x - p.x), abs(q.y - p.y))) AS r
 FROM seg p, seg q WHERE p.seg_id <> q.seg_id) WHERE r = 20""")
 def neighbour_distance(spark, sf):
     """Distance of every leaf to its twentieth neighbour, from which zoom factors are calibrated."""
-    d = L.kth_distance(P.segments(spark, sf).select(F.col("seg_id").alias("id"), "x", "y"), 20, 0.05)
+    d = L.kth_distance(P.segments(spark, sf).select(F.col("seg_id").alias("id"), "x", "y"), 20)
     return d.select("id", G.r6(F.col("dist")).alias("dist"))
 
 

@@ -130,9 +130,9 @@ def test_nearest_and_capped(spark):
     rng = random.Random(9)
     pts = [(i, rng.random(), rng.random() ** 4) for i in range(150)]
     d = spark.createDataFrame(pts, "id int, x double, y double")
-    got = {r["id"]: r["dist"] for r in L.kth_distance(d, 5, 0.01).collect()}
+    got = {r["id"]: r["dist"] for r in L.kth_distance(d, 5).collect()}
     assert got == {i: sorted(max(abs(x - a), abs(y - b)) for j, a, b in pts if j != i)[4] for i, x, y in pts}
-    assert L.kth_distance(d.limit(3), 5, 0.01).collect() == []
+    assert L.kth_distance(d.limit(3), 5).collect() == []
     top = L.capped(d.select("id"), 10, "id").collect()
     assert [r["id"] for r in top] == list(range(10)) and {r["truncated"] for r in top} == {1}
     assert {r["truncated"] for r in L.capped(d.select("id"), 150, "id").collect()} == {0}
