@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociq.operators.stretches import along
 from lociq.session import table
 from lociq.store import stored
 
@@ -49,17 +50,16 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *STEP_ORDER)  # noqa: E741
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("bp"))
-    along = Window.partitionBy("l_orderkey").orderBy(*STEP_ORDER)
-    d = l.join(p, F.col("l_partkey") == F.col("p_partkey"))
-    stop = F.sum("bp").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A walk may hold most steps: its sums run over ranges of it.
+    d = along(l.join(p, F.col("l_partkey") == F.col("p_partkey")), ["l_orderkey"], STEP_ORDER, {"pos": "1", "stop": "bp"})
     return d.select(
         F.col("l_orderkey").alias("contig"),
-        F.row_number().over(along).cast("long").alias("pos"),
+        F.col("pos").cast("long").alias("pos"),
         (F.col("l_partkey") + 1).alias("seg_id"),
         F.when(F.col("l_returnflag") == "R", 0).otherwise(1).cast("long").alias("ori"),
         "bp",
-        (stop - F.col("bp")).alias("start"),
-        stop.alias("stop"),
+        (F.col("stop") - F.col("bp")).alias("start"),
+        "stop",
     )
 
 
@@ -83,9 +83,9 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")  # noqa: E741
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("bp"))
     aln = F.col("l_suppkey") * 10000 + F.year("l_shipdate")
-    order = Window.partitionBy("aln").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     d = l.join(p, F.col("l_partkey") == F.col("p_partkey")).withColumn("aln", aln)
-    return d.select("aln", F.row_number().over(order).cast("long").alias("pos"), (F.col("l_partkey") + 1).alias("seg_id"), "bp")
+    d = along(d, ["aln"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], {"pos": "1"})
+    return d.select("aln", F.col("pos").cast("long").alias("pos"), (F.col("l_partkey") + 1).alias("seg_id"), "bp")
 
 
 #: DuckDB twins of the above, as common table expressions.
