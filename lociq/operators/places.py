@@ -32,25 +32,29 @@ def _grid(rows: DataFrame, box: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(box)).withColumn("gx", at("x")).withColumn("gy", at("y")).drop("_x0", "_y0", "_side")  # one row
 
 
+def _number(level: str, cx: str, cy: str) -> Column:
+    """A cell's number: its level, column and line side by side."""
+    return F.expr(f"shiftleft(cast({level} as bigint), {2 * DEPTH}) + shiftleft(cast({cx} as bigint), {DEPTH}) + {cy}")
+
+
 def _nodes(rows: DataFrame) -> DataFrame:
-    """(level, cx, cy, n, x0, x1, y0, y1, leaf): the cells of a quadtree with the boxes of what they hold."""
+    """(no, up, level, n, x0, x1, y0, y1, leaf): the cells of a quadtree with the boxes of what they hold; up: the cell above."""
     at = rows.select("x", "y", "gx", "gy", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level"))
     cell = [F.expr(f"shiftright(g{c}, {DEPTH} - level)").alias(f"c{c}") for c in "xy"]
     cells = at.select("level", *cell, "x", "y").groupBy("level", "cx", "cy").agg(
         F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
-    cells = cells.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == DEPTH))
-    # Below a leaf there is nothing: cells other than the root stay if their parent is cut.
-    cut = cells.where("not leaf").select((F.col("level") + 1).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    below = cells.withColumn("px", F.expr("shiftright(cx, 1)")).withColumn("py", F.expr("shiftright(cy, 1)"))
-    return below.where("level = 0").drop("px", "py").unionByName(below.join(cut, ["level", "px", "py"]).drop("px", "py"))
+    # What four neighbours hold is what the cell above holds; below a leaf there is nothing.
+    cells = cells.withColumn("up", F.when(F.col("level") > 0, _number("level - 1", "shiftright(cx, 1)", "shiftright(cy, 1)")))
+    cells = cells.withColumn("above", F.sum("n").over(Window.partitionBy("level", "up"))).where(f"level = 0 or above > {LEAF}")
+    return cells.select(_number("level", "cx", "cy").alias("no"), "up", "level", "n", "x0", "x1", "y0", "y1", ((F.col("n") <= LEAF) | (F.col("level") == DEPTH)).alias("leaf"))
 
 
 def _in_leaf(rows: DataFrame, leaves: DataFrame, levels: list[int], name: str) -> DataFrame:
     """rows with the leaf cell that holds each."""
     at = rows.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    at = at.withColumn("cx", F.expr(f"shiftright(gx, {DEPTH} - level)")).withColumn("cy", F.expr(f"shiftright(gy, {DEPTH} - level)"))
-    return at.join(leaves.select("level", "cx", "cy", F.col("no").alias(name)), ["level", "cx", "cy"]).drop("level", "cx", "cy", "gx", "gy")
+    at = at.withColumn(name, _number("level", f"shiftright(gx, {DEPTH} - level)", f"shiftright(gy, {DEPTH} - level)"))
+    return at.join(leaves.select(F.col("no").alias(name)), name).drop("level", "gx", "gy")
 
 
 def nearest(points: DataFrame, marks: DataFrame, k: int = 1, metric: str = "straight") -> DataFrame:
@@ -66,8 +70,8 @@ def nearest(points: DataFrame, marks: DataFrame, k: int = 1, metric: str = "stra
     box = both.agg(F.min("x").alias("_lx"), F.min("y").alias("_ly"), F.when(side > 0, side * 2).otherwise(1.0).alias("_side"))
     box = box.select((F.col("_lx") / F.col("_side")).alias("_x0"), (F.col("_ly") / F.col("_side")).alias("_y0"), "_side")
     spots, kept = materialize(_grid(spots, box), "spots"), materialize(_grid(kept, box), "marks")
-    own = materialize(_nodes(spots).where("leaf").withColumn("no", F.monotonically_increasing_id()), "cells")
-    tree = materialize(_nodes(kept).withColumn("no", F.monotonically_increasing_id()), "tree")
+    own = materialize(_nodes(spots).where("leaf"), "cells")
+    tree = materialize(_nodes(kept), "tree")
     kinds = tree.groupBy("level", "leaf").count().collect()  # at most two rows a level
     deep = max((r["level"] for r in kinds), default=0)
 
@@ -78,9 +82,7 @@ def nearest(points: DataFrame, marks: DataFrame, k: int = 1, metric: str = "stra
     asked = own.select(F.col("no").alias("q"), *[F.col(c).alias(f"q{c}") for c in ("x0", "x1", "y0", "y1")])
     held = ["no", "n", "x0", "x1", "y0", "y1"]
     # A step leads from a cell to its parts, and from a leaf to itself.
-    over = tree.select((F.col("level") + 1).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("no").alias("up"))
-    parts = tree.withColumn("px", F.expr("shiftright(cx, 1)")).withColumn("py", F.expr("shiftright(cy, 1)")).join(over, ["level", "px", "py"])
-    steps = materialize(parts.select("up", *held).unionByName(tree.where("leaf").select(F.col("no").alias("up"), *held)), "steps")
+    steps = tree.where("level > 0").select("up", *held).unionByName(tree.where("leaf").select(F.col("no").alias("up"), *held))
     now = asked.crossJoin(F.broadcast(tree.where("level = 0").select(F.col("no").alias("up"))))  # one row
     sure = Window.partitionBy("q").orderBy("far", "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(1, deep + 1):
