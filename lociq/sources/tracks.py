@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fields(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).where((F.trim("value") != "") & ~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("f"))
+def _fields(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """The fields of the lines at a path, or of lines(line) themselves."""
+    lines = spark.read.text(source) if isinstance(source, str) else source.select(F.explode(F.array("line")).alias("value"))  # a line is made once, not once for each use
+    return lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("f"))
 
 
 def bands(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +20,7 @@ def bands(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).where(F.size("f") >= 5).select(at(0).alias("contig"), at(1).cast("long").alias("start"), at(2).cast("long").alias("stop"), at(3).alias("name"), at(4).alias("stain"))
 
 
-def gtf(spark: SparkSession, path: str, feature: str, gene_types: Sequence[str] | None = None) -> DataFrame:
+def gtf(spark: SparkSession, path: str | DataFrame, feature: str, gene_types: Sequence[str] | None = None) -> DataFrame:
     """(contig, start, stop, reverse, gene_id, gene_name, gene_type) of one feature, of the given gene types if any."""
     at = lambda i: F.get("f", F.lit(i))
     said = lambda name: F.nullif(F.regexp_extract(at(8), f'{name} "([^"]*)"', 1), F.lit(""))
