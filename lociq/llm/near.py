@@ -464,7 +464,15 @@ def _first_groups(members: DataFrame, sketches: DataFrame, num: int, den: int) -
     kb = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"), F.col("n").alias("nb"))
     alone = star.groupBy("a").agg((F.count("*") == 1).alias("alone"))
     star = materialize(star.join(alone, "a").join(kb, "b").join(ka, "a").where(~F.col("alone") | F.expr(_plausible(num, den))).select("a", "b"), "star")
-    return star.select(F.xxhash64("a").alias("gid"), F.col("b").alias("node")).unionByName(star.select(F.xxhash64("a").alias("gid"), F.col("a").alias("node")).distinct())
+    # A family of near copies is many groups of more or less the same members, one for each signature. Of groups too large
+    # for one task, one whose central member lies in a larger one joins it: each member then is in the family once, and not
+    # once for each signature. No pair parts, so no link is lost.
+    size = star.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") >= SHARE)
+    inner = star.join(size, "a").join(size.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
+    inner = inner.where((F.col("m") > F.col("mb")) | ((F.col("m") == F.col("mb")) & (F.col("a") < F.col("b"))))
+    family = connected_components(inner.select("a", "b")).select(F.col("node").alias("a"), "component")
+    star = star.join(family, "a", "left").select(F.coalesce("component", "a").alias("gid"), "a", "b")
+    return star.select(F.xxhash64("gid").alias("gid"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _round(members: DataFrame, sets: DataFrame, num: int, den: int, slices: int = 1) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:

@@ -80,3 +80,17 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near.jaccard_components(docs, 3, 90, 100).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 3, 90, 100)
     assert len(rounds) > 1 and sum(rounds) < 40 * len(texts)  # far from the two million pairs of the family
+
+
+def test_a_family_is_not_once_for_each_signature(spark, monkeypatch):
+    """Groups of one family that are too large for a task are one group, so rows do not grow with its signatures."""
+    rng = random.Random(11)
+    texts = family(rng, 1500, most=14)
+    monkeypatch.setattr(near, "SHARE", 64)
+    held = []
+    real = near._round
+    monkeypatch.setattr(near, "_round", lambda m, *a: (held.append(m.groupBy("gid").count().where("count > 64").groupBy().sum("count").first()[0] or 0), real(m, *a))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in near.jaccard_components(docs, 5, 80, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 5, 80, 100)
+    assert held[0] <= 2 * len(texts) // 3, held  # 1,232 when every signature had its own
