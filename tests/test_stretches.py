@@ -26,3 +26,14 @@ def test_keys_without_many_rows_are_not_written(spark, monkeypatch):
     d = stretches.along(spark.range(1000).selectExpr("id % 50 as k", "id as i"), ["k"], ["i"], {"n": "1"})
     assert not wrote and d.where("n = 20").count() == 50
     assert d._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_gains_meet_the_nodes_twice(spark):
+    """Sizes of communities come with the nodes: rows of gains are not shuffled again by either community."""
+    from lociq.operators import communities
+
+    nodes = spark.sql("select 1L as g, id as node, id as comm, 2L as deg, 20L as total, 2L as size from range(10)")
+    links = spark.range(10).selectExpr("1L as g", "id as u", "explode(array((id + 9) % 10, (id + 1) % 10)) as v", "1L as w")
+    d = communities._gains(nodes, links)
+    assert {(r["node"], r["to"], r["gain"]) for r in d.collect()} == {(i, (i + s) % 10, 20 - 2 * 2) for i in range(10) for s in (1, 9)}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 5  # two of them in the side of own links too
