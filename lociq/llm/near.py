@@ -61,6 +61,8 @@ NULL_ID = -(1 << 63)
 
 #: Members of a group that one task settles, and that one copy of a larger group's consensus serves.
 SHARE = 128
+#: Bits that say which keys may be candidates.
+MARKS = 1 << 23
 #: Slices in which the groups of the first round are settled one after the other: as little of their sets is on disk at once.
 SLICES = 4
 
@@ -294,6 +296,7 @@ def _consensus(sets: list[np.ndarray]) -> np.ndarray:
 
 def _keys(y: np.ndarray, inside: np.ndarray, most: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
     """What y shares with a partner to which it is linked, but not through the hub; inside: which of y are in most."""
+    least = max(least, -(-num * len(y) // den))  # no smaller set is linked to y
     need = -(((num + den) * int(inside.sum()) - num * (least + len(y))) // (num + den))
     own = y[~inside]
     if need > 0:
@@ -503,7 +506,9 @@ def _round(members: DataFrame, sets: DataFrame, num: int, den: int, slices: int
     hubs = hubs.join(own, ["gid", "a"]).join(copies.select("gid", "part"), "gid")
     star = large.join(hubs, ["gid", "part"]).where("a <> node").select("gid", "node", "features", "a", "sa")
     compared = materialize(star.mapInArrow(_compare(num, den), "gid long, node binary, a binary, linked boolean"), "compared")
-    keyed = scored.join(compared, ["gid", "node"]).select("gid", F.explode("keys").alias("key"), "node", "linked")
+    # Where all members are linked to the hub, nothing is left to find.
+    torn = compared.where("not linked").select("gid").distinct()
+    keyed = scored.join(torn, "gid", "left_semi").join(compared, ["gid", "node"]).select("gid", F.explode("keys").alias("key"), "node", "linked")
     keyed = keyed.select(F.xxhash64("gid", "key").alias("gid"), "node", "linked")
     held = keyed.groupBy("gid").agg(
         F.count("*").alias("m"), F.min("linked").alias("joined"),
@@ -515,6 +520,17 @@ def _round(members: DataFrame, sets: DataFrame, num: int, den: int, slices: int
     return links.unionByName(compared.where("linked").select("a", F.col("node").alias("b"))), materialize(later, "members"), kept
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in wanted, and a few others: MARKS bits say which hashes of keys occur. What the join that
+    follows would drop then is not shuffled."""
+    at = f"pmod(xxhash64(key), {MARKS})"
+    word, bit = F.expr(f"{at} div 64"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))")
+    every = rows.sparkSession.range(MARKS // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    marked = wanted.select(word.alias("w"), bit.alias("bits")).unionByName(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    words = marked.agg(F.sort_array(F.collect_list(F.struct("w", "bits"))).alias("x")).select(F.col("x.bits").alias("words"))
+    return rows.join(F.broadcast(words), F.get("words", word.cast("int")).bitwiseAND(bit) != 0, "left_semi")  # one row of MARKS bits
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: sets link when den * |A and B| >= num * |A or B|; component_id is the
     smallest id reachable by links. The result is written; what was written on the way is gone."""
@@ -536,7 +552,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
         # The whole sets of the candidates, from their texts.
         wanted = members.select("node").distinct().join(nodes, "node").select(F.coalesce("id", F.lit(NULL_ID)).alias("key"), "node")
-        texts = rows.join(wanted, F.coalesce(rows["id"], F.lit(NULL_ID)) == wanted["key"]).select("node", "text")
+        key = F.coalesce("id", F.lit(NULL_ID))
+        texts = maybe_in(rows.withColumn("key", key), wanted).join(wanted, "key").select("node", "text")
         sets = materialize(texts.mapInArrow(_features(k), "node binary, features binary"), "features")
         release(spark)
         if not sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # rows that share id and text

@@ -94,3 +94,30 @@ def test_a_family_is_not_once_for_each_signature(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near.jaccard_components(docs, 5, 80, 100).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 5, 80, 100)
     assert held[0] <= 2 * len(texts) // 3, held  # 1,232 when every signature had its own
+
+
+def test_keys_allow_for_the_size_of_a_partner():
+    """A set of the group that is too small to be linked does not make others show more of their features."""
+    most, own = np.arange(1000, dtype=np.uint64), np.arange(5000, 5100, dtype=np.uint64)
+    y = np.concatenate((most[:200], own))
+    assert len(near._keys(y, np.arange(len(y)) < 200, most, 1, 90, 100)) < 100
+
+
+def test_texts_of_no_candidate_are_left_out(spark):
+    rows = spark.range(5000).selectExpr("id as key", "id as v")
+    got = {r["v"] for r in near.maybe_in(rows, spark.range(0, 5000, 50).selectExpr("id as key")).collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 150
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from lociq.session import materialize
+
+    def left() -> set[Path]:
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for d in dirs for p in Path(d).glob("*/shuffle_*")}
+
+    before = left()
+    d = materialize(spark.range(1000).selectExpr("id", "id % 7 as k").repartition("k"), "dealt")
+    assert not left() - before and d.count() == 1000
