@@ -17,24 +17,27 @@ frs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aln, seg_id ORD
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
-    """(aln, pos, seg_id, bp, off, total, ps, pe, ori, a0, a1, mapq): steps of the alignments with what they cover, sorted
-    by segment: the inverted lists. Stored."""
+    """(aln, pos, seg_id, bp, off, total, ps, pe, ori, a0, a1, mapq, first): steps of the alignments with what they cover,
+    sorted by segment: the inverted lists. first: the alignment has not been on this segment before. What follows from the
+    other columns is not stored."""
 
     def make() -> DataFrame:
-        every = Window.partitionBy("aln")
-        along = every.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        d = P.reads(spark, sf).withColumn("off", F.sum("bp").over(along) - F.col("bp")).withColumn("total", F.sum("bp").over(every))
-        long = F.col("total") > 10
-        d = d.withColumn("ps", F.when(long, F.col("aln") % 3).otherwise(0).cast("long")).withColumn("pe", F.when(long, F.col("total") - F.col("aln") % 5).otherwise(F.col("total")))
-        return d.select(
-            "aln", "pos", "seg_id", "bp", "off", "total", "ps", "pe", F.when(F.col("pos") % 3 == 0, 0).otherwise(1).cast("long").alias("ori"),
-            F.greatest("ps", "off").alias("a0"), F.least("pe", F.col("off") + F.col("bp")).alias("a1"), (F.col("aln") % 60).alias("mapq"),
-        )
+        d = P.placed_reads(spark, sf).repartitionByRange("seg_id", "aln")
+        return d.withColumn("first", F.row_number().over(Window.partitionBy("seg_id", "aln").orderBy("pos")) == 1)
 
-    return stored(spark, sf, "read_parts", make, order=("seg_id", "aln"))
+    d = stored(spark, sf, "read_parts", make, order=("seg_id", "aln"), dealt=True, rows=lambda: P.items(spark, sf))
+    long = F.col("total") > 10
+    d = d.withColumn("ps", F.when(long, F.col("aln") % 3).otherwise(0).cast("long")).withColumn("pe", F.when(long, F.col("total") - F.col("aln") % 5).otherwise(F.col("total")))
+    return d.select(
+        "aln", "pos", "seg_id", "bp", "off", "total", "ps", "pe", F.when(F.col("pos") % 3 == 0, 0).otherwise(1).cast("long").alias("ori"),
+        F.greatest("ps", "off").alias("a0"), F.least("pe", F.col("off") + F.col("bp")).alias("a1"), (F.col("aln") % 60).alias("mapq"), "first",
+    )
 
 
 def first_visits(d: DataFrame) -> DataFrame:
+    """The first step of each alignment on each segment; d may hold some segments or alignments only."""
+    if "first" in d.columns:
+        return d.where(F.col("first")).drop("first")
     return d.withColumn("_v", F.row_number().over(Window.partitionBy("aln", "seg_id").orderBy("pos"))).where("_v = 1").drop("_v")
 
 

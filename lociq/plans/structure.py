@@ -107,7 +107,7 @@ def packed(spark: SparkSession, sf: str) -> DataFrame:
         d = first_visits(parts(spark, sf))
         return packing.pack(d.select(F.col("seg_id").alias("key"), F.col("aln").alias("id"), (F.col("a0") - F.col("off")).alias("start"), (F.col("a1") - F.col("off")).alias("stop")))
 
-    return stored(spark, sf, "packed", make, order=("key", "line"))
+    return stored(spark, sf, "packed", make, order=("key", "line"), dealt=True, rows=lambda: P.items(spark, sf))
 
 
 @query(None)

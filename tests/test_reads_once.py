@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from lociq import session
-from lociq.operators import stretches
+from lociq.operators import packing, stretches
+from lociq.plans import reading, structure
 from lociq.plans.annotations import QUERIES
 from lociq.sources import projection as P
 from lociq.store import stored
@@ -27,6 +30,17 @@ def test_reads_of_a_node_shuffle_only_that_node(spark):
     assert got and _shuffled(spark) - before <= 2 * len(got)
 
 
+def test_read_parts_and_packing_take_one_shuffle_each(spark):
+    n = P.reads(spark, DATA).count()
+    before = _shuffled(spark)
+    parts = reading.parts(spark, DATA)
+    assert _shuffled(spark) - before <= n + 8
+    keys = parts.select("seg_id").distinct().count()
+    before = _shuffled(spark)
+    assert structure.packed(spark, DATA).count() > 0
+    assert _shuffled(spark) - before <= n + 8 * keys + 8
+
+
 @pytest.mark.parametrize("hot", [10, 400, 10**9])
 def test_sums_over_whole_keys(spark, monkeypatch, hot):
     monkeypatch.setattr(stretches, "HOT", hot)
@@ -38,6 +52,21 @@ def test_sums_over_whole_keys(spark, monkeypatch, hot):
     assert sorted((r.v, r.t) for r in d.collect()) == sorted((v, total[k]) for k, _, v in rows)
 
 
+@pytest.mark.parametrize("hot", [5, 10**9])
+def test_packing_of_hot_and_other_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(packing, "HOT", hot)
+    rng = random.Random(1)
+    rows = [(rng.randrange(4) * rng.randrange(2), i, s := rng.randrange(60), s + rng.randrange(0, 9)) for i in range(300)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        ends: list[int] = []
+        for _, i, s, e in sorted((r for r in rows if r[0] == key and r[2] < r[3]), key=lambda r: (r[2], r[3], r[1])):
+            at = next((n for n, end in enumerate(ends) if end <= s), len(ends))
+            ends[at:at + 1] = [e]
+            want[i] = at + 1
+    assert {r.id: r.line for r in packing.pack(spark.createDataFrame(rows, "key long, id long, start long, stop long")).collect()} == want
+
+
 def test_large_tables_have_more_partitions(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "SORTED", 100)
     was, seen = session.partitions(spark), []
