@@ -89,3 +89,15 @@ def test_passages_take_two_shuffles(spark):
     before = _shuffled(spark)
     assert A.passages(steps, members).count() > 0
     assert _shuffled(spark) - before <= 2 * n + members.count() + 20 * of
+
+
+def test_links_meet_each_of_their_segments_once(spark):
+    """Not once for each layer: the nodes of all layers come with the segment."""
+    from lociq.operators import edges as E
+    from lociq.plans.catalogue import _nodes, _rep
+
+    d = E.edge_signs(E.oriented_pairs(P.links(spark, DATA)), _rep(spark, DATA), _nodes(spark, DATA))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 4  # two, and the places of the segments within each
+    want = QUERIES["layer_edges"](spark, DATA).select("layer", "source", "target", "n").collect()
+    assert sorted(map(tuple, d.select("layer", "source", "target", "n").collect())) == sorted(map(tuple, want))
