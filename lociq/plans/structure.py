@@ -93,10 +93,7 @@ def pivot_hops(spark, sf):
 @query(None)
 def pivot_plane(spark, sf):
     """Where the segments that every pivot reaches lie in the plane of the distances."""
-    d = distances(spark, sf)
-    n = d.agg(F.count_distinct("pivot").alias("k"))
-    whole = d.groupBy("node").agg(F.count("*").alias("n")).join(F.broadcast(n), F.col("n") == F.col("k")).select("node")  # one row
-    p = pivots.plane(d.join(whole, "node", "left_semi"))
+    p = pivots.plane(distances(spark, sf))
     return p.select("node", G.r6(F.col("x")).alias("x"), G.r6(F.col("y")).alias("y"))
 
 

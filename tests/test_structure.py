@@ -90,3 +90,59 @@ def test_packed_rows_do_not_overlap_and_are_as_few_as_can_be(spark):
         assert len(mine) == sum(1 for key, _ in got if key == k)
         assert all(a[2] != b[2] or a[1] <= b[0] or b[1] <= a[0] for i, a in enumerate(mine) for b in mine[:i])
         assert max(x[2] for x in mine) == max(sum(s <= p < e for s, e, _ in mine) for p in range(500))
+
+
+def test_hops_do_not_send_the_links_again(spark):
+    """On a dense graph with a tail and a second component, distances are those of the plain procedure, and what is shuffled
+    stays in proportion to the links, not to links times hops times pivots."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(400), 2))) for _ in range(12000)} | {(399 + i, 400 + i) for i in range(4)} | {(900, 901), (901, 902)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    given = spark.createDataFrame(sorted(pairs), "a long, b long").repartition(2).cache()
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}  # joins run as they do on large tables
+    was = {k: spark.conf.get(k) for k in sizes}
+    given.count()
+    tables = {t.name for t in spark.catalog.listTables()}
+    before = _shuffled(spark)
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        got = pivots.pivots(given, 5)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert _shuffled(spark) - before < 3 * 2 * len(pairs)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    rows = {(r.node, r.pivot): r.hop for r in got.collect()}
+    seed, closest = 0, dict.fromkeys(near)
+    for i in range(5):
+        d = plain_hops(near, seed)
+        assert {n: h for (n, p), h in rows.items() if p == i} == d
+        closest = {n: min((x for x in (c, d.get(n)) if x is not None), default=None) for n, c in closest.items()}
+        seed = min(closest, key=lambda n: (closest[n] is not None, -(closest[n] or 0), n))
+    assert len({p for _, p in rows}) == 5 and len(rows) > 1200
+    given.unpersist()
+
+
+def _shuffled(spark) -> int:
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_links_no_pivots(spark):
+    got = pivots.pivots(spark.createDataFrame([], "a long, b long"), 5)
+    assert got.columns == ["node", "pivot", "hop"] and got.isEmpty() and pivots.plane(got).isEmpty()
+
+
+def test_plane_holds_nodes_that_every_pivot_reaches(spark):
+    rows = [(n, p, abs(3 * p - n)) for n in range(8) for p in range(3)]
+    some = [(50, 0, 1), (51, 1, 2), (51, 2, 2)]
+    schema = "node long, pivot long, hop long"
+    got, want = (sorted(map(tuple, pivots.plane(spark.createDataFrame(x, schema)).collect())) for x in (rows + some, rows))
+    assert [r[0] for r in want] == list(range(8)) and [r[0] for r in got] == [r[0] for r in want]
+    assert np.allclose(got, want)
