@@ -30,6 +30,20 @@ from lociq.llm.text import batches, binary
 from lociq.session import pick
 
 
+#: The steps before the merges that PIECES does on lower-cased ASCII words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII: one character each in the byte-level alphabet, and itself.
+PLAIN = re.compile(rb"[!-~]+").fullmatch
+
+
 @dataclass
 class TreeBpe:
     """An encoder equal to Tokenizer.from_file(path) with add_special_tokens=False.
@@ -59,7 +73,11 @@ class TreeBpe:
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.joined = spec.get("decoder") is None  # then decoding puts one space between tokens
-        self.memo: dict[bytes, tuple[int, str, str]] = {}
+        # What words encode to: their ids in decimal, and their tokens; the same of the pieces of ASCII words.
+        self.ids: dict[bytes, str] = {}
+        self.said: dict[bytes, str] = {}
+        self.pieces: dict[str, tuple[str, str]] = {}
+        self.split = PIECES.findall if spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == SPLITTER else None
         self.by_id = {v: k for k, v in self.whole.get_vocab(with_added_tokens=True).items()}
 
     # texts
@@ -94,16 +112,42 @@ class TreeBpe:
         return a, x, d
 
     def learn(self, words: set[bytes]) -> None:
-        """Remember what words encode to; all that is remembered goes when it would exceed keep."""
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > self.keep:
-            self.memo.clear()
-            new = list(words)
-        texts = [w.decode() for w in new]
-        short = iter(self.whole.encode_batch_fast([t for t in texts if len(t) <= self.leaf], add_special_tokens=False))
-        for w, t in zip(new, texts, strict=True):
-            ids = next(short).ids if len(t) <= self.leaf else self._run(t)
-            self.memo[w] = len(ids), " ".join(map(str, ids)), " ".join(map(self.by_id.__getitem__, ids)) if self.joined else ""
+        """Remember what words encode to; all that is remembered goes when it would exceed keep.
+
+        Many ASCII words share few pieces (a word with its comma, with a capital): these are encoded once."""
+        new = words.difference(self.ids)
+        if len(self.ids) + len(new) > self.keep:
+            self.ids.clear()
+            self.said.clear()
+            new = words
+        cut, rest = [], []
+        for w in new:
+            t = w.decode()
+            if self.split is None or len(t) > self.leaf or not PLAIN(w) or self.special.search(t):
+                rest.append((w, t))
+            else:
+                cut.append((w, self.split(t.lower())))
+        self._learn_pieces({p for _, x in cut for p in x})
+        for w, x in cut:
+            if len(x) == 1:
+                self.ids[w], self.said[w] = self.pieces[x[0]]
+            else:
+                self.ids[w], self.said[w] = map(" ".join, zip(*map(self.pieces.__getitem__, x), strict=True))
+        short = iter(self.whole.encode_batch_fast([t for _, t in rest if len(t) <= self.leaf], add_special_tokens=False))
+        for w, t in rest:
+            self.ids[w], self.said[w] = self._written(next(short).ids if len(t) <= self.leaf else self._run(t))
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.pieces)
+        if len(self.pieces) + len(new) > self.keep:
+            self.pieces.clear()
+            new = pieces
+        new = list(new)
+        for p, e in zip(new, self.last.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.pieces[p] = self._written(e.ids)
+
+    def _written(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), " ".join(map(self.by_id.__getitem__, ids)) if self.joined else ""
 
     # runs without white space
 
@@ -165,17 +209,23 @@ class TreeBpe:
     def encode_many(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Of each UTF-8 text: number of tokens, the ids in decimal, and the decoded text."""
         trees = [[(x[:1], x.split(), x[-1:]) for x in self.leaves(t)] for t in texts]
-        self.learn({w for parts in trees for _, words, _ in parts for w in words})
+        self.learn(set().union(*(words for parts in trees for _, words, _ in parts)))
+        joined: set[bytes] = set()
         for i, parts in enumerate(trees):
-            while len(parts) > 1:  # pairs of neighbours, level by level
-                parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+            if len(parts) > 1:
+                while len(parts) > 1:  # pairs of neighbours, level by level
+                    parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+                joined.update(parts[0][1])
             trees[i] = parts[0][1]
-        self.learn({w for words in trees for w in words})
+        if not joined.issubset(self.ids):
+            self.learn(set().union(*trees))
         for words in trees:
-            parts = [x for x in map(self.memo.__getitem__, words) if x[0]]
-            n, ids, said = zip(*parts, strict=True) if parts else ((), (), ())
-            joined = " ".join(ids)
-            yield sum(n), joined, " ".join(said) if self.joined else self.decode(list(map(int, joined.split())))
+            ids = " ".join(map(self.ids.__getitem__, words))
+            if "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # words without tokens
+                words = [w for w in words if self.ids[w]]
+                ids = " ".join(map(self.ids.__getitem__, words))
+            said = " ".join(map(self.said.__getitem__, words)) if self.joined else self.decode(list(map(int, ids.split())))
+            yield ids.count(" ") + 1 if ids else 0, ids, said
 
     def digests(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Of each UTF-8 text: number of tokens, SHA-256 of the ids in decimal, and of the decoded text."""
