@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -58,6 +59,7 @@ class TreeBpe:
     joins: int = field(default=0, init=False)
 
     def __post_init__(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores; threads would wait for each other
         from tokenizers import Tokenizer, models
 
         self.whole = Tokenizer.from_file(self.path)
