@@ -13,7 +13,7 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     made = {
         "contigs": projection.contigs, "steps": projection.steps, "reads": projection.reads, "leaf_rep": projection.leaves,
         "nodes": catalogue._boxes, "pairs": catalogue._pairs, "edges": catalogue._edges, "visits": catalogue._visits_by_hap, "reference": catalogue._reference,
-        "tree": views.tree, "signed_edges": views.signed_edges, "edge_walks": views.edge_walks, "depths": views.depths,
+        "tree": views.tree, "signed_edges": views.signed_edges, "depths": views.depths,
         "read_parts": reading.parts, "dictionary": selections.dictionary, "contig_lists": selections.contig_lists, "masks": selections.masks,
         "closure": trees.ancestors, "gene_spots": trees.occurrences, "alignments": reading.alignments, "inversions": selections.inversions, "support": views.support, "passages": sites.passages, "grids": sites.grids, "chains": bubbles.chained, "claims": lambda s, d: bubbles.owned(s, d)[0],
         "votes": structure.votes, "settled": lambda s, d: structure.settled(s, d)[0], "pivots": structure.distances, "packed": structure.packed,
